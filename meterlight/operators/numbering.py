@@ -8,7 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from meterlight.session import shared_folder
+from meterlight.session import new_shared_path
+
+# At most this many (group, partition) pieces are broadcast; more are joined by a shuffle.
+BROADCAST_PIECES = 200_000
 
 
 def number_rows(
@@ -17,28 +20,33 @@ def number_rows(
     """``row_number`` per group in the given order, with a large group spread over many tasks.
 
     A window would sort each group in one task. Instead all rows are range-partitioned by group and
-    order and checkpointed once, so that their places are settled; a row's number is its place
-    within its partition plus the group's rows in earlier partitions.
+    order and written once to the shared folder, so that their places are settled and outlive an
+    executor. A row's number is its place within its partition plus the group's rows in earlier
+    partitions. ``order`` must tell all rows of a group apart for the numbers to be repeatable.
     """
-    shared_folder(df.sparkSession)
+    spark = df.sparkSession
     keys = [F.col(column) for column in group]
-    placed = (
+    path = new_shared_path(spark, "numbered")
+    (
         df.repartitionByRange(*keys, *order)
         .sortWithinPartitions(*keys, *order)
         .withColumn("_part", F.spark_partition_id())
         .withColumn("_place", F.monotonically_increasing_id())
-        .checkpoint()
+        .write.parquet(path)
     )
+    placed = spark.read.parquet(path)
     pieces = placed.groupBy(*group, "_part").agg(
         F.min("_place").alias("_first"), F.count(F.lit(1)).alias("_rows")
     )
     earlier = W.partitionBy(*group).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    offsets = pieces.select(
+    shifts = pieces.select(
         *group,
         "_part",
         (F.coalesce(F.sum("_rows").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"),
     )
-    rows, shifts = placed.alias("rows"), offsets.alias("shifts")
+    if pieces.count() <= BROADCAST_PIECES:
+        shifts = F.broadcast(shifts)
+    rows, shifts = placed.alias("rows"), shifts.alias("shifts")
     match = F.col("rows._part") == F.col("shifts._part")
     for column in group:
         match = match & F.col(f"rows.{column}").eqNullSafe(F.col(f"shifts.{column}"))

@@ -18,15 +18,23 @@ _SHIFTS = (40, 20, 0)
 
 
 def count_values(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """keys, value, n: how often each non-NULL value occurs per group."""
+    """keys, value, n: how often each non-NULL value occurs per group.
+
+    The coalesce never applies. It declares the value as not nullable, which keeps the optimizer from
+    adding a NULL filter of its own for each later step, so that all steps share one shuffle of the
+    counts.
+    """
+    number = F.coalesce(F.col(value).cast("bigint"), F.lit(0).cast("bigint"))
     return (
         df.where(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).cast("bigint").alias("value"))
+        .groupBy(*keys, number.alias("value"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
 
 
 def _buckets(counts: DataFrame, keys: Sequence[str], shift: int) -> DataFrame:
+    if shift == 0:
+        return counts.withColumnRenamed("value", "bucket")
     return counts.groupBy(*keys, F.shiftright("value", shift).alias("bucket")).agg(
         F.sum("n").alias("n")
     )
@@ -62,8 +70,13 @@ def _first_ranks(buckets: DataFrame, keys: Sequence[str], fraction: float) -> Da
 
 
 def _narrow(buckets: DataFrame, targets: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The sub-bucket of each target's bucket that holds its rank."""
-    wanted = targets.withColumnRenamed("bucket", "parent").alias("wanted")
+    """The sub-bucket of each target's bucket that holds its rank.
+
+    Without keys there are exactly two targets, which is bound enough to broadcast them; with keys
+    their number is that of the groups, and AQE decides by the measured size.
+    """
+    wanted = targets.withColumnRenamed("bucket", "parent")
+    wanted = (wanted if keys else F.broadcast(wanted)).alias("wanted")
     parts = buckets.alias("parts")
     match = F.shiftright("parts.bucket", _DIGIT_BITS) == F.col("wanted.parent")
     for key in keys:

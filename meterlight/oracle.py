@@ -508,7 +508,7 @@ ORACLE_SQL: dict[str, str] = {
         "SELECT 'ERRORS' AS rule, 0.5::DOUBLE AS fraction, SUM(credits) AS spent "
         "FROM qh q JOIN pq ON q.query_id = pq.query_id WHERE execution_status <> 'SUCCESS' "
         "UNION ALL SELECT 'SPILL', 0.2::DOUBLE, SUM(credits) "
-        f"FROM qh q JOIN pq ON q.query_id = pq.query_id WHERE {_REMOTE} >= 20 * {MIB})",
+        f"FROM qh q JOIN pq ON q.query_id = pq.query_id WHERE {_SPILLED})",
     ),
     "export_roundtrip": _sql(
         "qa",

@@ -6,31 +6,46 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 FORMATS = ("parquet", "csv")
-# Text comes back as it was: quotes doubled, blanks and line ends kept, microseconds written.
-_CSV = {
-    "header": "true",
-    "escape": '"',
-    "multiLine": "true",
-    "ignoreLeadingWhiteSpace": "false",
-    "ignoreTrailingWhiteSpace": "false",
-    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]",
-}
-
-
-def export_result(df: DataFrame, path: str, file_format: str = "parquet") -> None:
-    """Write a result below a new path, in as many files as it has partitions."""
+
+
+def _options(file_format: str, null_text: str) -> dict[str, str]:
+    """For CSV: quotes doubled, blanks and line ends kept, microseconds written."""
     if file_format not in FORMATS:
         raise ValueError(f"cannot export as {file_format!r}")
-    writer = df.write.mode("error").format(file_format)
-    (writer.options(**_CSV) if file_format == "csv" else writer).save(path)
+    if file_format == "parquet":
+        return {}
+    return {
+        "header": "true",
+        "escape": '"',
+        "multiLine": "true",
+        "ignoreLeadingWhiteSpace": "false",
+        "ignoreTrailingWhiteSpace": "false",
+        "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]",
+        "nullValue": null_text,
+    }
+
+
+def export_result(
+    df: DataFrame, path: str, file_format: str = "parquet", null_text: str = ""
+) -> None:
+    """Write a result below a new path, in as many files as it has partitions.
+
+    CSV writes NULL as ``null_text``. With the empty default, NULL and empty text read back alike.
+    """
+    options = _options(file_format, null_text)
+    df.write.mode("error").format(file_format).options(**options).save(path)
 
 
 def read_export(
-    spark: SparkSession, path: str, schema: T.StructType, file_format: str = "parquet"
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType,
+    file_format: str = "parquet",
+    null_text: str = "",
 ) -> DataFrame:
     """A written result, with the schema it had."""
-    reader = spark.read.format(file_format).schema(schema)
-    return (reader.options(**_CSV) if file_format == "csv" else reader).load(path)
+    options = _options(file_format, null_text)
+    return spark.read.format(file_format).schema(schema).options(**options).load(path)
 
 
 def to_client(df: DataFrame):

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meterlight.fixed_values import DEFAULT_WINDOWS
-from meterlight.functions.dates import default_range
+from meterlight.functions.dates import WHOLE_DAY, default_range, in_ts_range
 from meterlight.functions.measures import compute_credits
 from meterlight.operators.per_query import times
 from meterlight.plans.overview import (
@@ -64,11 +64,13 @@ def scalar_round(views: UsageViews) -> DataFrame:
 def default_ranges(views: UsageViews, today: date | str) -> DataFrame:
     """The default ranges of both kinds, with the queries that started on their days.
 
-    One pass over the log counts for both kinds.
+    One pass over the days of both counts for both.
     """
     day = F.col("start_time").cast("date")
     bounds = {kind: default_range(kind, today) for kind in DEFAULT_WINDOWS}
-    counted = views.queries.agg(
+    first_day = min(first for first, _ in bounds.values())
+    last_day = max(last for _, last in bounds.values())
+    counted = in_ts_range(views.queries, "start_time", first_day, last_day, WHOLE_DAY).agg(
         *(
             F.count_if(day.between(F.lit(first), F.lit(last))).alias(kind)
             for kind, (first, last) in bounds.items()

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meterlight.functions.dates import check_range
-from meterlight.functions.measures import failed, ratio
+from meterlight.functions.measures import failed, ratio, spilled
 from meterlight.operators.governance import Caller
 from meterlight.operators.numbering import number_rows
 from meterlight.operators.per_query import query_totals, times
@@ -172,14 +172,13 @@ def potential_savings(
     end: Day = None,
     user: Caller = None,
     fractions: Mapping[str, float] = SAVED_FRACTIONS,
-    spill_bytes_from: int = 20 * MIB,
 ) -> DataFrame:
-    """Credits of failed and of heavily spilling queries, and the part that could be saved.
+    """Credits of failed queries and of queries that spilled, and the part that could be saved.
 
     A query may fall under both rules. Matching rows collapse to one row per query before the join.
     """
     scope = views.scoped(start, end, user)
-    rules = {"ERRORS": failed(), "SPILL": F.col(REMOTE) >= spill_bytes_from}
+    rules = {"ERRORS": failed(), "SPILL": spilled()}
     matches = F.array_compact(
         F.array(*(F.when(condition, F.lit(rule)) for rule, condition in rules.items()))
     )

@@ -227,11 +227,14 @@ def large_queries(
     user: Caller = None,
     fraction: float = 0.95,
 ) -> DataFrame:
-    """Queries that scanned at least the given percentile of all queries' bytes."""
+    """Queries that scanned at least the given percentile of all queries' bytes.
+
+    Bytes are whole, so the limit is rounded up to a BIGINT, which the scan can filter by.
+    """
     queries = views.scoped(start, end, user).queries
     limit = exact_percentile(queries, [], "bytes_scanned", fraction, "limit")
     return queries.where(
-        F.col("bytes_scanned") >= limit.select(F.round("limit", 4)).scalar()
+        F.col("bytes_scanned") >= limit.select(F.ceil(F.round("limit", 4))).scalar()
     ).select("query_id", "user_name", "warehouse_name", "bytes_scanned")
 
 

@@ -11,6 +11,7 @@ from meterlight.session import local_session  # noqa: E402
 @pytest.fixture(scope="session")
 def spark():
     session = local_session("tests", 8, memory="6g")
+    session.conf.set("spark.sql.maxMetadataStringLength", "10000")
     yield session
     session.stop()
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +27,18 @@ TODAY = "2024-01-10"
 HORIZON = 38
 
 
+@dataclass(frozen=True)
+class Analysis:
+    """A function of the views, and what it is called with."""
+
+    result: Callable[..., DataFrame]
+    args: tuple = ()
+    options: Mapping[str, object] = field(default_factory=dict)
+
+    def query(self, spark: SparkSession, folder: str) -> DataFrame:
+        return self.result(_views(spark, folder), *self.args, **self.options)
+
+
 def _views(spark: SparkSession, folder: str) -> UsageViews:
     return UsageViews(sample.SampleLogs(spark, folder))
 
@@ -34,10 +47,6 @@ def _load(loader: Query) -> Query:
     return lambda spark, folder: plain_credits(loader(spark, folder))
 
 
-def _over(result: Callable[..., DataFrame], *args, **options) -> Query:
-    return lambda spark, folder: result(_views(spark, folder), *args, **options)
-
-
 def _view(name: str, user: str | None = None) -> Query:
     return lambda spark, folder: plain_credits(
         getattr(_views(spark, folder).scoped(user=user), name)
@@ -83,14 +92,79 @@ def _export_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     return back
 
 
+# Results over governed views: how each is called with the fixed parameters.
+ANALYSES: dict[str, Analysis] = {
+    # filters, ranges
+    "default_range": Analysis(pieces.default_ranges, (TODAY,)),
+    # joins, aggregates, scalars
+    "join_history_attribution": Analysis(pieces.join_history_attribution),
+    "count_distinct_queries": Analysis(pieces.count_distinct_queries),
+    "sum_coalesce": Analysis(pieces.sum_coalesce),
+    "avg_elapsed": Analysis(pieces.avg_elapsed),
+    "scalar_round": Analysis(pieces.scalar_round),
+    # overviews
+    "admin_overview": Analysis(overview.admin_overview, MONTH),
+    "service_kpis": Analysis(overview.service_kpis, MONTH),
+    "service_kpis_empty": Analysis(overview.service_kpis, NO_DAYS),
+    "format_kpis": Analysis(overview.displayed_kpis, MONTH),
+    "user_overview": Analysis(overview.user_overview, DAYS),
+    "user_overview_rls": Analysis(overview.user_overview, (*DAYS, USER)),
+    "user_overview_empty": Analysis(overview.user_overview, NO_DAYS),
+    "user_overview_sql": Analysis(overview.user_overview_sql, DAYS),
+    "format_overview": Analysis(overview.displayed_overview, DAYS),
+    # warehouses
+    "warehouse_daily": Analysis(warehouse.warehouse_daily, DAYS),
+    "warehouse_hourly": Analysis(warehouse.warehouse_hourly),
+    "warehouse_trend": Analysis(warehouse.warehouse_trend),
+    "warehouse_efficiency": Analysis(warehouse.warehouse_efficiency),
+    "success_rate": Analysis(warehouse.success_rate),
+    "cost_per_query": Analysis(warehouse.cost_per_query),
+    "right_sizing": Analysis(warehouse.right_sizing),
+    # AI
+    "ai_by_function": Analysis(ai.ai_by_function),
+    "ai_daily": Analysis(ai.ai_daily),
+    "analyst_daily": Analysis(ai.analyst_daily),
+    "ai_model_cost": Analysis(ai.ai_model_cost),
+    "ai_query_details": Analysis(ai.ai_query_details),
+    "ai_function_perf": Analysis(ai.ai_function_perf),
+    # queries
+    "spill_queries": Analysis(queries.spill_queries),
+    "spill_by_warehouse": Analysis(queries.spill_by_warehouse),
+    "spill_impact": Analysis(queries.spill_impact),
+    "spill_daily": Analysis(queries.spill_daily),
+    "query_details": Analysis(queries.query_details, DAYS),
+    "error_tracking": Analysis(queries.error_tracking),
+    "top_queries": Analysis(queries.top_queries),
+    "top_queries_all": Analysis(queries.top_queries_all),
+    "top_query_resources": Analysis(queries.top_query_resources),
+    "cloud_services_by_type": Analysis(queries.cloud_services_by_type),
+    "compilation_share": Analysis(queries.compilation_share),
+    "scan_patterns": Analysis(queries.scan_patterns),
+    "large_queries": Analysis(queries.large_queries),
+    "failure_rollup": Analysis(queries.failure_rollup),
+    # accounts
+    "cost_daily": Analysis(accounts.cost_daily, MONTH),
+    "cost_by_category": Analysis(accounts.cost_by_category),
+    "cost_cumulative": Analysis(accounts.cost_cumulative, MONTH),
+    "top_users": Analysis(accounts.top_users),
+    "user_efficiency": Analysis(accounts.user_efficiency),
+    "user_activity": Analysis(accounts.user_activity),
+    "storage_growth": Analysis(accounts.storage_growth),
+    # planning
+    "cost_forecast": Analysis(planning.cost_forecast, MONTH, {"horizon": HORIZON}),
+    "cost_trend": Analysis(planning.cost_trend, MONTH),
+    "budget_scenarios": Analysis(planning.budget_scenarios, MONTH, {"horizon": HORIZON}),
+    "recommendations": Analysis(planning.recommendations),
+    "recommendation_plan": Analysis(planning.recommendation_plan),
+    "potential_savings": Analysis(planning.potential_savings),
+}
+
 QUERIES: dict[str, Query] = {
-    # scans
     "scan_metering": _load(sample.load_metering),
     "scan_query_history": _load(sample.load_query_history),
     "scan_attribution": _load(sample.load_attribution),
     "scan_ai_functions": _load(sample.load_ai_functions),
     "scan_ai_analyst": _load(sample.load_ai_analyst),
-    # governed views
     "view_attribution": _view("attribution"),
     "view_attribution_rls": _view("attribution", USER),
     "view_analyst": _view("analyst"),
@@ -101,71 +175,9 @@ QUERIES: dict[str, Query] = {
     "ai_query_view_rls": _view("ai_queries", USER),
     "row_access": _row_access,
     "profile_url": _links,
-    # filters, ranges
     "filter_date_range": _month,
     "filter_ts_range": _days,
     "filter_ts_whole_day": _whole_days,
-    "default_range": _over(pieces.default_ranges, TODAY),
-    # joins, aggregates, scalars
-    "join_history_attribution": _over(pieces.join_history_attribution),
-    "count_distinct_queries": _over(pieces.count_distinct_queries),
-    "sum_coalesce": _over(pieces.sum_coalesce),
-    "avg_elapsed": _over(pieces.avg_elapsed),
-    "scalar_round": _over(pieces.scalar_round),
-    # overviews
-    "admin_overview": _over(overview.admin_overview, *MONTH),
-    "service_kpis": _over(overview.service_kpis, *MONTH),
-    "service_kpis_empty": _over(overview.service_kpis, *NO_DAYS),
-    "format_kpis": _over(overview.displayed_kpis, *MONTH),
-    "user_overview": _over(overview.user_overview, *DAYS),
-    "user_overview_rls": _over(overview.user_overview, *DAYS, USER),
-    "user_overview_empty": _over(overview.user_overview, *NO_DAYS),
-    "user_overview_sql": _over(overview.user_overview_sql, *DAYS),
-    "format_overview": _over(overview.displayed_overview, *DAYS),
-    # warehouses
-    "warehouse_daily": _over(warehouse.warehouse_daily, *DAYS),
-    "warehouse_hourly": _over(warehouse.warehouse_hourly),
-    "warehouse_trend": _over(warehouse.warehouse_trend),
-    "warehouse_efficiency": _over(warehouse.warehouse_efficiency),
-    "success_rate": _over(warehouse.success_rate),
-    "cost_per_query": _over(warehouse.cost_per_query),
-    "right_sizing": _over(warehouse.right_sizing),
-    # AI
-    "ai_by_function": _over(ai.ai_by_function),
-    "ai_daily": _over(ai.ai_daily),
-    "analyst_daily": _over(ai.analyst_daily),
-    "ai_model_cost": _over(ai.ai_model_cost),
-    "ai_query_details": _over(ai.ai_query_details),
-    "ai_function_perf": _over(ai.ai_function_perf),
-    # queries
-    "spill_queries": _over(queries.spill_queries),
-    "spill_by_warehouse": _over(queries.spill_by_warehouse),
-    "spill_impact": _over(queries.spill_impact),
-    "spill_daily": _over(queries.spill_daily),
-    "query_details": _over(queries.query_details, *DAYS),
-    "error_tracking": _over(queries.error_tracking),
-    "top_queries": _over(queries.top_queries),
-    "top_queries_all": _over(queries.top_queries_all),
-    "top_query_resources": _over(queries.top_query_resources),
-    "cloud_services_by_type": _over(queries.cloud_services_by_type),
-    "compilation_share": _over(queries.compilation_share),
-    "scan_patterns": _over(queries.scan_patterns),
-    "large_queries": _over(queries.large_queries),
-    "failure_rollup": _over(queries.failure_rollup),
-    # accounts
-    "cost_daily": _over(accounts.cost_daily, *MONTH),
-    "cost_by_category": _over(accounts.cost_by_category),
-    "cost_cumulative": _over(accounts.cost_cumulative, *MONTH),
-    "top_users": _over(accounts.top_users),
-    "user_efficiency": _over(accounts.user_efficiency),
-    "user_activity": _over(accounts.user_activity),
-    "storage_growth": _over(accounts.storage_growth),
-    # planning
-    "cost_forecast": _over(planning.cost_forecast, *MONTH, horizon=HORIZON),
-    "cost_trend": _over(planning.cost_trend, *MONTH),
-    "budget_scenarios": _over(planning.budget_scenarios, *MONTH, horizon=HORIZON),
-    "recommendations": _over(planning.recommendations),
-    "recommendation_plan": _over(planning.recommendation_plan),
-    "potential_savings": _over(planning.potential_savings),
     "export_roundtrip": _export_roundtrip,
+    **{name: analysis.query for name, analysis in ANALYSES.items()},
 }

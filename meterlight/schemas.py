@@ -74,6 +74,14 @@ def conform(df: DataFrame, schema: T.StructType, name: str) -> DataFrame:
     missing = [field.name for field in schema if field.name not in df.columns]
     if missing:
         raise ValueError(f"{name} lacks the columns {', '.join(missing)}")
-    declared = [F.col(field.name).cast(field.dataType).alias(field.name) for field in schema]
-    extra = [F.col(column) for column in df.columns if column not in schema.names]
+    found = {field.name: field.dataType for field in df.schema}
+    declared = [
+        field.name
+        if found[field.name] == field.dataType
+        else F.col(field.name).cast(field.dataType).alias(field.name)
+        for field in schema
+    ]
+    extra = [column for column in df.columns if column not in schema.names]
+    if df.columns == [*schema.names, *extra] and all(isinstance(c, str) for c in declared):
+        return df
     return df.select(*declared, *extra)

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from meterlight import schemas
 
@@ -27,79 +26,57 @@ UNMETERED_SERVICE = 8
 AI_FUNCTION_NAMES = ("COMPLETE", "SUMMARIZE", "TRANSLATE")
 MIB = 1024 * 1024
 
+_USER_NAME = "concat('USER_', user_id)"
+_WAREHOUSE_NAME = "concat('WH_', user_id % 5)"
+_ATTRIBUTED = "if(l_discount = 0, NULL, CAST(l_quantity * 0.01D AS DECIMAL(18,9)))"
+
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def _credits(amount: Column) -> Column:
-    return amount.cast(schemas.CREDITS)
-
-
-def _pick(index: Column, names: tuple[str, ...]) -> Column:
-    choice = F.when(index == 0, names[0])
-    for position, name in enumerate(names[1:], start=1):
-        choice = choice.when(index == position, name)
-    return choice
-
-
-def _query_id(key: str) -> Column:
-    return F.concat(F.lit("q-"), F.col(key))
-
-
-def _user_name() -> Column:
-    return F.concat(F.lit("USER_"), F.col("user_id"))
+def _names_by_number(number: str, names: tuple[str, ...]) -> str:
+    cases = " ".join(f"WHEN {place} THEN '{name}'" for place, name in enumerate(names))
+    return f"CASE {number} {cases} END"
 
 
-def _warehouse_name() -> Column:
-    return F.concat(F.lit("WH_"), F.col("user_id") % 5)
+def _query_type() -> str:
+    cases = " ".join(f"WHEN '{kind}' THEN '{name}'" for kind, name in QUERY_TYPES.items())
+    return f"CASE event_type {cases} ELSE '{OTHER_QUERY_TYPE}' END"
 
 
 def load_query_history(spark: SparkSession, folder: str) -> DataFrame:
-    event, user, kind = F.col("event_id"), F.col("user_id"), F.col("event_type")
-    query_type = F.lit(OTHER_QUERY_TYPE)
-    for name, mapped in QUERY_TYPES.items():
-        query_type = F.when(kind == name, mapped).otherwise(query_type)
-    failed = kind == "error"
-    spills_locally = (user % 5 != 4) & (event % 10 == 0)
-    spills_remotely = (event % 40 == 0) | ((user % 5 == 0) & (event % 8 == 0))
-    frame = _table(spark, folder, "events").select(
-        _query_id("event_id").alias("query_id"),
-        _user_name().alias("user_name"),
-        (user % 5).alias("warehouse_id"),
-        _warehouse_name().alias("warehouse_name"),
-        query_type.alias("query_type"),
-        F.when(failed, "FAIL").otherwise("SUCCESS").alias("execution_status"),
-        F.when(failed, F.concat(F.lit("E"), event % 7)).alias("error_code"),
-        F.col("ts").alias("start_time"),
-        F.floor(F.col("value") * 1000).alias("total_elapsed_time"),
-        (event % 400).alias("compilation_time"),
-        F.when(event % 11 != 0, _credits((event % 1000) * F.lit(0.000001)))
-        .alias("credits_used_cloud_services"),
-        ((event % 1000) * MIB).alias("bytes_scanned"),
-        F.when(spills_locally, (event % 50) * MIB).otherwise(0)
-        .alias("bytes_spilled_to_local_storage"),
-        F.when(spills_remotely, (event % 30) * MIB).otherwise(0)
-        .alias("bytes_spilled_to_remote_storage"),
+    spills_locally = "user_id % 5 <> 4 AND event_id % 10 = 0"
+    spills_remotely = "event_id % 40 = 0 OR (user_id % 5 = 0 AND event_id % 8 = 0)"
+    frame = _table(spark, folder, "events").selectExpr(
+        "concat('q-', event_id) AS query_id",
+        f"{_USER_NAME} AS user_name",
+        "user_id % 5 AS warehouse_id",
+        f"{_WAREHOUSE_NAME} AS warehouse_name",
+        f"{_query_type()} AS query_type",
+        "if(event_type = 'error', 'FAIL', 'SUCCESS') AS execution_status",
+        "if(event_type = 'error', concat('E', event_id % 7), NULL) AS error_code",
+        "ts AS start_time",
+        "CAST(floor(value * 1000) AS BIGINT) AS total_elapsed_time",
+        "event_id % 400 AS compilation_time",
+        "if(event_id % 11 = 0, NULL, CAST((event_id % 1000) * 0.000001 AS DECIMAL(18,9)))"
+        " AS credits_used_cloud_services",
+        f"(event_id % 1000) * {MIB} AS bytes_scanned",
+        f"if({spills_locally}, (event_id % 50) * {MIB}, 0) AS bytes_spilled_to_local_storage",
+        f"if({spills_remotely}, (event_id % 30) * {MIB}, 0) AS bytes_spilled_to_remote_storage",
     )
     return schemas.conform(frame, schemas.QUERY_HISTORY, "query_history")
 
 
-def _attributed() -> Column:
-    return F.when(F.col("l_discount") != 0, _credits(F.col("l_quantity") * 0.01)).alias(
-        "credits_attributed_compute"
-    )
-
-
 def load_attribution(spark: SparkSession, folder: str) -> DataFrame:
     events = _table(spark, folder, "events").select("event_id", "user_id", "ts")
     lines = _table(spark, folder, "lineitem").select("l_orderkey", "l_quantity", "l_discount")
-    frame = lines.join(events, lines.l_orderkey == events.event_id, "left").select(
-        _query_id("l_orderkey").alias("query_id"),
-        _user_name().alias("user_name"),
-        _warehouse_name().alias("warehouse_name"),
-        F.col("ts").alias("start_time"),
-        _attributed(),
+    frame = lines.join(events, lines.l_orderkey == events.event_id, "left").selectExpr(
+        "concat('q-', l_orderkey) AS query_id",
+        f"{_USER_NAME} AS user_name",
+        f"{_WAREHOUSE_NAME} AS warehouse_name",
+        "ts AS start_time",
+        f"{_ATTRIBUTED} AS credits_attributed_compute",
     )
     return schemas.conform(frame, schemas.ATTRIBUTION, "attribution")
 
@@ -107,52 +84,51 @@ def load_attribution(spark: SparkSession, folder: str) -> DataFrame:
 def load_attribution_credits(spark: SparkSession, folder: str) -> DataFrame:
     """The attribution log without who, where and when.
 
-    Each line has exactly one session at most (an event id names one event), so leaving the session
-    columns out leaves out the join that only they need.
+    A line has at most one session (an event id names one event), so leaving the session columns
+    out leaves out the join that only they need.
     """
-    lines = _table(spark, folder, "lineitem")
-    return lines.select(_query_id("l_orderkey").alias("query_id"), _attributed())
+    return _table(spark, folder, "lineitem").selectExpr(
+        "concat('q-', l_orderkey) AS query_id", f"{_ATTRIBUTED} AS credits_attributed_compute"
+    )
 
 
 def load_metering(spark: SparkSession, folder: str) -> DataFrame:
-    service = F.col("l_suppkey") % len(SERVICES)
-    compute = F.when(service != UNMETERED_SERVICE, _credits(F.col("l_quantity") * 0.1))
-    cloud = _credits(F.col("l_tax"))
-    frame = _table(spark, folder, "lineitem").select(
-        _pick(service, SERVICES).alias("service_type"),
-        F.col("l_shipdate").cast("date").alias("usage_date"),
-        (compute + cloud).alias("credits_used"),
-        compute.alias("credits_used_compute"),
-        cloud.alias("credits_used_cloud_services"),
+    service = f"l_suppkey % {len(SERVICES)}"
+    compute = (
+        f"if({service} = {UNMETERED_SERVICE}, NULL, CAST(l_quantity * 0.1D AS DECIMAL(18,9)))"
+    )
+    cloud = "CAST(l_tax AS DECIMAL(18,9))"
+    frame = _table(spark, folder, "lineitem").selectExpr(
+        f"{_names_by_number(service, SERVICES)} AS service_type",
+        "CAST(l_shipdate AS DATE) AS usage_date",
+        f"{compute} + {cloud} AS credits_used",
+        f"{compute} AS credits_used_compute",
+        f"{cloud} AS credits_used_cloud_services",
     )
     return schemas.conform(frame, schemas.METERING, "metering")
 
 
 def load_ai_functions(spark: SparkSession, folder: str) -> DataFrame:
-    function = F.col("doc_id") % len(AI_FUNCTION_NAMES)
-    frame = _table(spark, folder, "documents").select(
-        _query_id("doc_id").alias("query_id"),
-        (F.col("doc_id") % 5).alias("warehouse_id"),
-        _pick(function, AI_FUNCTION_NAMES).alias("function_name"),
-        F.concat(F.lit("model-"), F.col("lang")).alias("model_name"),
-        F.col("n_chars").alias("tokens"),
-        _credits(F.col("n_chars") * (function + 1) * F.lit(0.0001)).alias("token_credits"),
+    function = f"doc_id % {len(AI_FUNCTION_NAMES)}"
+    frame = _table(spark, folder, "documents").selectExpr(
+        "concat('q-', doc_id) AS query_id",
+        "doc_id % 5 AS warehouse_id",
+        f"{_names_by_number(function, AI_FUNCTION_NAMES)} AS function_name",
+        "concat('model-', lang) AS model_name",
+        "n_chars AS tokens",
+        f"CAST(n_chars * (1 + {function}) * 0.0001 AS DECIMAL(18,9)) AS token_credits",
     )
     return schemas.conform(frame, schemas.AI_FUNCTIONS, "ai_functions")
 
 
 def load_ai_analyst(spark: SparkSession, folder: str) -> DataFrame:
     events = _table(spark, folder, "events").select("event_id", "user_id", "ts")
-    asked = _table(spark, folder, "conversations").where(F.col("role") == "user")
-    frame = (
-        asked.select("conv_id", "turn")
-        .join(events, F.col("conv_id") == F.col("event_id"))
-        .select(
-            _user_name().alias("username"),
-            F.col("ts").alias("start_time"),
-            F.lit(1).cast("bigint").alias("request_count"),
-            _credits((F.col("turn") + 1) * F.lit(0.01)).alias("credits"),
-        )
+    asked = _table(spark, folder, "conversations").where("role = 'user'").select("conv_id", "turn")
+    frame = asked.join(events, asked.conv_id == events.event_id).selectExpr(
+        f"{_USER_NAME} AS username",
+        "ts AS start_time",
+        "1L AS request_count",
+        "CAST((turn + 1) * 0.01 AS DECIMAL(18,9)) AS credits",
     )
     return schemas.conform(frame, schemas.AI_ANALYST, "ai_analyst")
 
@@ -160,10 +136,11 @@ def load_ai_analyst(spark: SparkSession, folder: str) -> DataFrame:
 def load_storage_snapshots(spark: SparkSession, folder: str) -> DataFrame:
     events = _table(spark, folder, "events").select("event_id", "ts")
     stored = _table(spark, folder, "documents").select("doc_id", "source", "n_chars")
-    frame = (
-        stored.join(events, stored.doc_id == events.event_id)
-        .groupBy("source", F.col("ts").cast("date").alias("snapshot_date"))
-        .agg(F.sum("n_chars").alias("bytes"))
+    daily = stored.join(events, stored.doc_id == events.event_id).selectExpr(
+        "source", "CAST(ts AS DATE) AS snapshot_date", "n_chars"
+    )
+    frame = daily.groupBy("source", "snapshot_date").agg({"n_chars": "sum"}).toDF(
+        "source", "snapshot_date", "bytes"
     )
     return schemas.conform(frame, schemas.STORAGE_SNAPSHOTS, "storage_snapshots")
 

@@ -8,10 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from meterlight.session import new_shared_path
-
-# At most this many (group, partition) pieces are broadcast; more are joined by a shuffle.
-BROADCAST_PIECES = 200_000
+from meterlight.session import broadcast_rows, new_shared_path
 
 
 def number_rows(
@@ -44,9 +41,8 @@ def number_rows(
         "_part",
         (F.coalesce(F.sum("_rows").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"),
     )
-    if pieces.count() <= BROADCAST_PIECES:
-        shifts = F.broadcast(shifts)
-    rows, shifts = placed.alias("rows"), shifts.alias("shifts")
+    rows = placed.alias("rows")
+    shifts = broadcast_rows(shifts, pieces.count()).alias("shifts")
     match = F.col("rows._part") == F.col("shifts._part")
     for column in group:
         match = match & F.col(f"rows.{column}").eqNullSafe(F.col(f"shifts.{column}"))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from meterlight.session import broadcast_rows
+
 
 def top_ranks(df: DataFrame, metric: str, count: int, name: str = "rank") -> DataFrame:
     """Rows whose rank by ``metric`` (largest first) is at most ``count``.
@@ -25,4 +27,4 @@ def top_ranks(df: DataFrame, metric: str, count: int, name: str = "rank") -> Dat
     ranks = values.select(
         metric, (F.coalesce(F.sum("_rows").over(larger), F.lit(0)) + 1).alias(name)
     ).where(F.col(name) <= count)
-    return df.join(F.broadcast(ranks), metric)
+    return df.join(broadcast_rows(ranks, count), metric)

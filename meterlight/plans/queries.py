@@ -16,6 +16,7 @@ from meterlight.functions.measures import (
 )
 from meterlight.operators.governance import Caller
 from meterlight.operators.percentile import exact_percentile
+from meterlight.session import broadcast_rows
 from meterlight.views import Day, UsageViews
 
 LOCAL = "bytes_spilled_to_local_storage"
@@ -120,7 +121,7 @@ def _dearest(scope: UsageViews, count: int) -> DataFrame:
         .limit(count)
         .select("query_id", F.col("credits").cast("double").alias("credits"))
     )
-    return scope.queries.join(F.broadcast(ids), "query_id")
+    return scope.queries.join(broadcast_rows(ids, count), "query_id")
 
 
 def top_queries(

@@ -6,10 +6,19 @@ import math
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _PARTITION_BYTES = 128 * 1024 * 1024
 
+# Rows of a few numbers and short texts: some ten megabytes on each executor.
+BROADCAST_ROWS = 200_000
+
+
+def broadcast_rows(df: DataFrame, at_most: int) -> DataFrame:
+    """Broadcast a narrow frame of a known largest size; a larger one is left to the optimizer."""
+    return F.broadcast(df) if at_most <= BROADCAST_ROWS else df
+
 
 def scale_settings(shuffle_bytes: int, cores: int) -> dict[str, str]:
     """Settings for a job whose widest shuffle moves ``shuffle_bytes``.

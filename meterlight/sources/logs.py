@@ -6,16 +6,37 @@ from collections.abc import Mapping
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from meterlight import schemas
 
+# The day of a log's start_time, by which stored logs may be partitioned.
+DAY_COLUMN = "start_date"
+
+
+def store_log(df: DataFrame, path: str, mode: str = "error") -> None:
+    """Write a log as parquet, one folder per day, so that date ranges read their days only.
+
+    Rows move to the tasks of their day; AQE splits the days that are too large for one task and
+    merges the small ones. A log without ``start_time`` or ``usage_date`` is written as it is.
+    """
+    if "start_time" in df.columns:
+        day = DAY_COLUMN
+        df = df.withColumn(day, F.col("start_time").cast("date"))
+    elif "usage_date" in df.columns:
+        day = "usage_date"
+    else:
+        df.write.mode(mode).parquet(path)
+        return
+    df.hint("rebalance", day).write.mode(mode).partitionBy(day).parquet(path)
+
 
 class StoredLogs:
     """The usage logs at the given places, read lazily.
 
-    ``places`` maps a log name to a path (anything with a ``/``) or a table name. Logs partitioned
-    by day are pruned by the date ranges of the analyses.
+    ``places`` maps a log name to a path (anything with a ``/``) or a table name. Where a log holds
+    ``start_date``, the date of its ``start_time``, ranges are held against that column as well.
     """
 
     def __init__(self, spark: SparkSession, places: Mapping[str, str]):

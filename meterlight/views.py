@@ -12,7 +12,7 @@ from meterlight.functions.dates import MIDNIGHT, check_range, in_date_range, in_
 from meterlight.operators import governance
 from meterlight.operators.governance import Caller
 from meterlight.operators.per_query import credits_per_query
-from meterlight.sources.logs import StoredLogs
+from meterlight.sources.logs import DAY_COLUMN, StoredLogs
 from meterlight.sources.sample import SampleLogs
 
 Day = date | str | None
@@ -38,18 +38,46 @@ class UsageViews:
     def scoped(
         self, start: Day = None, end: Day = None, user: Caller = None, end_rule: str = MIDNIGHT
     ) -> UsageViews:
-        """The same views for a date range (none given: all dates) and a caller."""
+        """The same views for a date range and a caller; what is not given stays as it is.
+
+        Views that belong to a caller cannot be turned into those of another one.
+        """
         org, account, base = self._link
-        caller = self._user if user is None else user
-        scope = UsageViews(self._logs, org, account, caller, base)
+        scope = UsageViews(self._logs, org, account, self._caller(user), base)
+        scope._range, scope._end_rule = self._range, self._end_rule
         if start is not None or end is not None:
-            scope._range = check_range(start, end)
-            scope._end_rule = end_rule
+            scope._range, scope._end_rule = check_range(start, end), end_rule
         return scope
 
+    def _caller(self, user: Caller) -> Caller:
+        if user is None or self._user is None:
+            return self._user if user is None else user
+        if isinstance(user, str) and isinstance(self._user, str) and user == self._user:
+            return user
+        raise PermissionError("these views belong to another caller")
+
+    def register(self, prefix: str = "") -> list[str]:
+        """Temporary views for SQL, named by prefix and log; the names are returned.
+
+        The metering log is registered for the administrator only.
+        """
+        frames = {
+            "query_history": self.queries,
+            "query_attribution_history": self.attribution,
+            "ai_functions_query_usage_history": self.ai_queries,
+            "ai_analyst_usage_history": self.analyst,
+        }
+        if self._user is None:
+            frames["metering_daily_history"] = self.metering
+        for name, frame in frames.items():
+            frame.createOrReplaceTempView(prefix + name)
+        return [prefix + name for name in frames]
+
     def _between(self, df: DataFrame, column: str) -> DataFrame:
         if self._range is None:
             return df
+        if DAY_COLUMN in df.columns:
+            df = in_date_range(df, DAY_COLUMN, *self._range)
         return in_ts_range(df, column, *self._range, end_rule=self._end_rule)
 
     def _administrator_only(self, log: str) -> None:

@@ -112,6 +112,16 @@ def test_metering_has_no_users(spark):
         overview.admin_overview(views(spark, user="A"))
 
 
+def test_views_keep_their_caller_and_their_range(spark):
+    logs = views(spark, [query("a"), query("b", start_time=NOON + dt.timedelta(days=9))],
+                 [entry("a"), entry("b")], user="A")
+    with pytest.raises(PermissionError):
+        overview.user_overview(logs, user="B")
+    narrowed = logs.scoped("2024-01-06", "2024-01-07")
+    assert rows(overview.user_overview(narrowed, user="A"))[0][0] == 1
+    assert rows(overview.user_overview(logs))[0][0] == 2
+
+
 def test_display(spark):
     figures = spark.createDataFrame(
         [(1234.25, 0.25, 1234567, None)], "a double, b double, c bigint, d double"

@@ -7,7 +7,7 @@ import pytest
 from frames import rows
 from pyspark.sql import functions as F
 
-from meterlight.operators import numbering
+from meterlight import session
 from meterlight.operators.numbering import number_rows
 from meterlight.operators.percentile import exact_percentile
 from meterlight.operators.ranking import top_ranks
@@ -62,7 +62,7 @@ def test_percentile_without_groups_and_without_rows(spark):
 
 @pytest.mark.parametrize("broadcast", [0, 1000])
 def test_row_numbers(spark, monkeypatch, broadcast):
-    monkeypatch.setattr(numbering, "BROADCAST_PIECES", broadcast)
+    monkeypatch.setattr(session, "BROADCAST_ROWS", broadcast)
     rng = random.Random(2)
     data = [(rng.choice(["hot", "hot", "cold", None]), rng.randint(0, 3), f"s{i:05d}")
             for i in range(2000)]
@@ -87,8 +87,10 @@ def test_row_numbers_spread_a_large_group(spark):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
+@pytest.mark.parametrize("broadcast", [0, 1000])
 @pytest.mark.parametrize("count", [1, 3, 10, 50])
-def test_top_ranks(spark, count):
+def test_top_ranks(spark, monkeypatch, count, broadcast):
+    monkeypatch.setattr(session, "BROADCAST_ROWS", broadcast)
     rng = random.Random(3)
     data = [(i, rng.randint(0, 12)) for i in range(60)] + [(99, None)]
     found = set(rows(top_ranks(spark.createDataFrame(data, "id int, v int"), "v", count, "r")

@@ -10,6 +10,7 @@ import __spark_entry__ as contract
 from meterlight import SampleLogs, StoredLogs, UsageViews
 from meterlight.functions.measures import compute_credits
 from meterlight.plans import accounts, overview, queries, warehouse
+from meterlight.sources.logs import store_log
 
 QUERIES = contract.queries()
 
@@ -126,3 +127,37 @@ def test_stored_logs_give_the_sample_results(spark, small, tmp_path):
         QUERIES["service_kpis"](spark, small)
     )
     assert "note" in queries.query_details(stored).columns
+
+
+def test_logs_stored_by_day_are_pruned(spark, small, tmp_path):
+    sample = SampleLogs(spark, small)
+    names = ("query_history", "attribution", "metering", "ai_functions", "ai_analyst")
+    places = {name: f"{tmp_path}/{name}" for name in names}
+    for name in names:
+        store_log(getattr(sample, name), places[name])
+    stored = UsageViews(StoredLogs(spark, places))
+    days, month = ("2024-01-05", "2024-01-10"), ("1998-03-01", "1998-03-31")
+    overview_frame = overview.user_overview(stored, *days)
+    assert rows(overview_frame) == rows(QUERIES["user_overview"](spark, small))
+    assert "start_date" in " ".join(re.findall(r"PartitionFilters: \[.*?\]", plan(overview_frame)))
+    kpis = overview.service_kpis(stored, *month)
+    assert rows(kpis) == rows(QUERIES["service_kpis"](spark, small))
+    assert "usage_date" in " ".join(re.findall(r"PartitionFilters: \[.*?\]", plan(kpis)))
+    whole = queries.query_details(stored.scoped(*days, end_rule="whole_day"))
+    assert whole.count() == QUERIES["filter_ts_whole_day"](spark, small).count()
+
+
+def test_registered_views_answer_sql(spark, small):
+    logs = UsageViews(SampleLogs(spark, small))
+    assert len(logs.register("all_")) == 5
+    assert len(logs.scoped(user="USER_3").register("my_")) == 4
+    text = """
+        SELECT COUNT(DISTINCT q.query_id) AS total_queries,
+               CAST(ROUND(SUM(COALESCE(CREDITS_ATTRIBUTED_COMPUTE, 0)), 3) AS DOUBLE),
+               CAST(ROUND(SUM(COALESCE(CREDITS_USED_CLOUD_SERVICES, 0)), 3) AS DOUBLE),
+               ROUND(AVG(total_elapsed_time) / 1000, 2)
+        FROM {0}query_history q INNER JOIN {0}query_attribution_history qa
+          ON q.query_id = qa.query_id
+        WHERE q.start_time >= '2024-01-05' AND q.start_time <= '2024-01-10'"""
+    for prefix, name in (("all_", "user_overview"), ("my_", "user_overview_rls")):
+        assert rows(spark.sql(text.format(prefix))) == rows(QUERIES[name](spark, small))

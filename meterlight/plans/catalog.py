@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -78,18 +79,19 @@ def _whole_days(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _export_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
-    """Daily warehouse credits of the whole log, written and read back in each format."""
+    """Daily warehouse credits of the whole log, written and read back in each format.
+
+    Each file but the first is written from the one before it, so the result is computed once.
+    """
     result = warehouse.warehouse_daily(_views(spark, folder))
-    path = new_shared_path(spark, "export")
-    back = None
+    path, schema = new_shared_path(spark, "export"), result.schema
+    read = []
     for file_format in FORMATS:
         place = f"{path}/{file_format}"
-        export_result(result, place, file_format)
-        rows = read_export(spark, place, result.schema, file_format).withColumn(
-            "file_format", F.lit(file_format)
-        )
-        back = rows if back is None else back.unionByName(rows)
-    return back
+        export_result(read[-1] if read else result, place, file_format)
+        read.append(read_export(spark, place, schema, file_format))
+    named = [df.withColumn("file_format", F.lit(name)) for name, df in zip(FORMATS, read)]
+    return reduce(DataFrame.unionByName, named)
 
 
 # Results over governed views: how each is called with the fixed parameters.

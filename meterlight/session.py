@@ -45,6 +45,7 @@ def local_session(app: str, cpus: int, memory: str = "8g") -> SparkSession:
         "spark.sql.shuffle.partitions": str(cpus),
         "spark.sql.session.timeZone": "UTC",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
     }.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()

@@ -127,6 +127,11 @@ def test_stored_logs_give_the_sample_results(spark, small, tmp_path):
         QUERIES["service_kpis"](spark, small)
     )
     assert "note" in queries.query_details(stored).columns
+    stored.queries.createOrReplaceTempView("stored_queries")
+    by_name = UsageViews(StoredLogs(spark, places | {"query_history": "stored_queries"}))
+    assert rows(overview.user_overview(by_name, *days)) == rows(
+        QUERIES["user_overview"](spark, small)
+    )
 
 
 def test_logs_stored_by_day_are_pruned(spark, small, tmp_path):

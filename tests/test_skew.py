@@ -35,3 +35,41 @@ def skewed(small, tmp_path_factory):
 @pytest.mark.parametrize("name", sorted(contract.queries()))
 def test_skewed(spark, skewed, name):
     compare(spark, skewed, name)
+
+
+@pytest.fixture(scope="module")
+def in_many_files(spark, skewed, tmp_path_factory):
+    """The skewed tables as twelve files each, so that many tasks read them."""
+    folder = tmp_path_factory.mktemp("files")
+    for table in HOT:
+        rows = spark.read.parquet(f"{skewed}/{table}.parquet")
+        rows.repartition(12).write.parquet(f"{folder}/{table}.parquet")
+    return str(folder)
+
+
+@pytest.mark.parametrize(
+    "name",
+    ["join_history_attribution", "scan_attribution", "warehouse_daily", "warehouse_trend",
+     "top_users", "scan_ai_analyst", "ai_query_view", "ai_daily", "ai_function_perf"],
+)
+def test_hot_rows_are_split_over_tasks(spark, in_many_files, name):
+    """AQE splits the hot id of every join of raw log rows (thresholds scaled down to the sample)."""
+    small_parts = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64b",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "128b",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.shuffle.partitions": "64",
+    }
+    before = {key: spark.conf.get(key) for key in small_parts}
+    for key, value in small_parts.items():
+        spark.conf.set(key, value)
+    try:
+        frame = contract.queries()[name](spark, in_many_files)
+        frame.collect()
+        text = frame._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert "SortMergeJoin(skew=true)" in text.split("Initial Plan")[0]

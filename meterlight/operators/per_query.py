@@ -20,13 +20,9 @@ TIME_SUM_TYPE = "decimal(25,0)"
 
 def credits_per_query(attribution: DataFrame) -> DataFrame:
     """query_id, credits, attribution_rows."""
-    return (
-        attribution.where(F.col("query_id").isNotNull())
-        .groupBy("query_id")
-        .agg(
-            F.sum(compute_credits()).cast(CREDIT_SUM_TYPE).alias("credits"),
-            F.count(F.lit(1)).alias("attribution_rows"),
-        )
+    return attribution.groupBy("query_id").agg(
+        F.sum(compute_credits()).cast(CREDIT_SUM_TYPE).alias("credits"),
+        F.count(F.lit(1)).alias("attribution_rows"),
     )
 
 

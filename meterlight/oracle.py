@@ -59,8 +59,8 @@ _LOGS = {
                        WHEN 6 THEN 'TELEMETRY_DATA_INGEST' WHEN 7 THEN 'PIPE'
                        WHEN 8 THEN 'REPLICATION' END AS service_type,
                      CAST(l_shipdate AS DATE) AS usage_date,
-                     CASE WHEN l_suppkey % 9 <> 8
-                       THEN CAST(l_quantity * 0.1 AS DECIMAL(18,9)) END AS compute,
+                     CASE WHEN l_suppkey % 9 = 8 THEN NULL
+                       ELSE CAST(l_quantity * 0.1 AS DECIMAL(18,9)) END AS compute,
                      CAST(l_tax AS DECIMAL(18,9)) AS cloud
               FROM lineitem)""",
     "al": """
@@ -478,7 +478,7 @@ ORACLE_SQL: dict[str, str] = {
     "storage_growth": _sql(
         "st",
         "SELECT source, snapshot_date, bytes, LAG(bytes) OVER (PARTITION BY source "
-        "ORDER BY snapshot_date) AS previous_bytes FROM st",
+        "ORDER BY snapshot_date NULLS LAST) AS previous_bytes FROM st",
     ),
     "cost_forecast": _sql("projected", "SELECT * FROM projected"),
     "cost_trend": _sql(

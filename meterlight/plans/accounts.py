@@ -25,7 +25,7 @@ def _daily_cost(views: UsageViews, start: Day, end: Day) -> DataFrame:
 
 def cost_daily(views: UsageViews, start: Day = None, end: Day = None) -> DataFrame:
     """Credits per day and the change against the day before it in the log."""
-    before = F.lag("credits").over(W.orderBy("usage_date"))
+    before = F.lag("credits").over(W.orderBy(F.col("usage_date").asc_nulls_last()))
     return _daily_cost(views, start, end).select(
         "usage_date",
         F.col("credits").cast("double").alias("credits"),
@@ -35,7 +35,8 @@ def cost_daily(views: UsageViews, start: Day = None, end: Day = None) -> DataFra
 
 def cost_cumulative(views: UsageViews, start: Day = None, end: Day = None) -> DataFrame:
     """Credits spent up to and including each day."""
-    so_far = W.orderBy("usage_date").rowsBetween(W.unboundedPreceding, W.currentRow)
+    by_day = W.orderBy(F.col("usage_date").asc_nulls_last())
+    so_far = by_day.rowsBetween(W.unboundedPreceding, W.currentRow)
     return _daily_cost(views, start, end).select(
         "usage_date", F.sum("credits").over(so_far).cast("double").alias("credits_to_date")
     )
@@ -109,7 +110,7 @@ def user_activity(
 
 def storage_growth(views: UsageViews, start: Day = None, end: Day = None) -> DataFrame:
     """Bytes per source and snapshot date, with those of the snapshot before."""
-    before = W.partitionBy("source").orderBy("snapshot_date")
+    before = W.partitionBy("source").orderBy(F.col("snapshot_date").asc_nulls_last())
     return views.scoped(start, end).storage.select(
         "source",
         "snapshot_date",

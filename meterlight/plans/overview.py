@@ -99,7 +99,7 @@ _OVERVIEW_SQL = """
 WITH credits AS (
   SELECT query_id, COUNT(*) AS entries,
          CAST(SUM(COALESCE(credits_attributed_compute, 0)) AS DECIMAL(25, 9)) AS compute
-  FROM {attribution} WHERE query_id IS NOT NULL
+  FROM {attribution}
   GROUP BY query_id
 ),
 queries AS (

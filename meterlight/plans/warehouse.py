@@ -61,7 +61,7 @@ def warehouse_trend(
     )
     return (
         _daily(views, start, end, user)
-        .where(F.col("warehouse_name").isNotNull() & F.col("usage_date").isNotNull())
+        .where(F.col("warehouse_name").isNotNull())
         .select(
             "warehouse_name",
             "usage_date",

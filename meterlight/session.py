@@ -54,18 +54,17 @@ def local_session(app: str, cpus: int, memory: str = "8g") -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a scratch folder only in local mode.
+    """The folder named by ``spark.checkpoint.dir``; where it is unset, that of the application.
 
-    Also makes it the checkpoint folder of the running application if it has none yet.
+    Only in local mode a scratch folder stands in, and becomes that of the application.
     """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder and not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors can reach")
     if not folder:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors can reach")
-        folder = tempfile.mkdtemp(prefix="meterlight-")
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="meterlight-"))
+        folder = context.getCheckpointDir()
     return folder
 
 

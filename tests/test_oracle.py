@@ -61,10 +61,5 @@ def test_every_result_has_sql():
 
 
 @pytest.mark.parametrize("name", sorted(contract.queries()))
-def test_medium(spark, medium, name):
+def test_equals_sql(spark, medium, name):
     compare(spark, medium, name)
-
-
-@pytest.mark.parametrize("name", sorted(contract.queries()))
-def test_small(spark, small, name):
-    compare(spark, small, name)

@@ -148,6 +148,10 @@ def test_logs_stored_by_day_are_pruned(spark, small, tmp_path):
     kpis = overview.service_kpis(stored, *month)
     assert rows(kpis) == rows(QUERIES["service_kpis"](spark, small))
     assert "usage_date" in " ".join(re.findall(r"PartitionFilters: \[.*?\]", plan(kpis)))
+    mine = overview.user_overview(stored, *days, "USER_3")
+    assert rows(mine) == rows(QUERIES["user_overview_rls"](spark, small))
+    assert plan(mine).count("EqualTo(user_name,USER_3)") >= 2
+    assert "start_date" not in overview.user_overview(stored).columns
     whole = queries.query_details(stored.scoped(*days, end_rule="whole_day"))
     assert whole.count() == QUERIES["filter_ts_whole_day"](spark, small).count()
 

@@ -1,4 +1,4 @@
-"""All results on samples where single keys hold a third of all rows."""
+"""All results on samples where single keys hold a third of all rows and any column may be NULL."""
 
 import duckdb
 import pytest
@@ -6,17 +6,46 @@ from test_oracle import TABLES, compare
 
 import __spark_entry__ as contract
 
+
+
+def replaced(**columns):
+    return "* REPLACE (" + ", ".join(f"{sql} AS {name}" for name, sql in columns.items()) + ")"
+
+
 HOT = {
     # one query with a third of all attribution, one supplier (service) with a third of metering
-    "lineitem": "* REPLACE (CASE WHEN l_partkey % 3 = 0 THEN 40 ELSE l_orderkey END AS l_orderkey, "
-    "CASE WHEN l_partkey % 3 = 1 THEN 9 ELSE l_suppkey END AS l_suppkey)",
+    "lineitem": replaced(
+        l_orderkey="CASE WHEN l_partkey % 3 = 0 THEN 40 WHEN l_partkey % 29 = 0 THEN NULL "
+        "ELSE l_orderkey END",
+        l_suppkey="CASE WHEN l_partkey % 3 = 1 THEN 9 WHEN l_partkey % 23 = 0 THEN NULL "
+        "ELSE l_suppkey END",
+        l_quantity="CASE WHEN l_partkey % 19 <> 0 THEN l_quantity END",
+        l_discount="CASE WHEN l_partkey % 17 <> 0 THEN l_discount END",
+        l_tax="CASE WHEN l_partkey % 13 <> 0 THEN l_tax END",
+        l_shipdate="CASE WHEN l_partkey % 31 <> 0 THEN l_shipdate END",
+    ),
     # one user, and so one warehouse, with a third of all queries
-    "events": "* REPLACE (CASE WHEN event_id % 3 = 0 THEN 3 ELSE user_id END AS user_id)",
+    "events": replaced(
+        user_id="CASE WHEN event_id % 3 = 0 THEN 3 WHEN event_id % 19 = 0 THEN NULL "
+        "ELSE user_id END",
+        event_type="CASE WHEN event_id % 23 <> 0 THEN event_type END",
+        ts="CASE WHEN event_id % 17 <> 0 THEN ts END",
+        value="CASE WHEN event_id % 13 <> 0 THEN value END",
+    ),
     # one query with a third of all AI calls, one source with a third of all storage
-    "documents": "* REPLACE (CASE WHEN doc_id % 3 = 0 THEN 40 ELSE doc_id END AS doc_id, "
-    "CASE WHEN doc_id % 3 = 1 THEN 'hot' ELSE source END AS source)",
+    "documents": replaced(
+        doc_id="CASE WHEN doc_id % 3 = 0 THEN 40 WHEN doc_id % 29 = 0 THEN NULL ELSE doc_id END",
+        source="CASE WHEN doc_id % 3 = 1 THEN 'hot' WHEN doc_id % 7 = 0 THEN NULL "
+        "ELSE source END",
+        lang="CASE WHEN doc_id % 11 <> 0 THEN lang END",
+        n_chars="CASE WHEN doc_id % 13 <> 0 THEN n_chars END",
+    ),
     # one chat with a third of all turns
-    "conversations": "* REPLACE (CASE WHEN conv_id % 3 = 0 THEN 40 ELSE conv_id END AS conv_id)",
+    "conversations": replaced(
+        conv_id="CASE WHEN conv_id % 3 = 0 THEN 40 WHEN conv_id % 7 = 0 THEN NULL "
+        "ELSE conv_id END",
+        turn="CASE WHEN conv_id % 5 <> 0 THEN turn END",
+    ),
 }
 
 

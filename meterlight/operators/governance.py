@@ -43,6 +43,9 @@ def query_history_view(
 def ai_query_view(query_view: DataFrame, ai_functions: DataFrame) -> DataFrame:
     """AI function calls with the query that made them.
 
-    The AI log knows no user: the join to the governed query view is what limits the rows.
+    The AI log knows no user: the join to the governed query view is what limits the rows. It stands
+    on the left, the side a sort-merge join streams, since one query may make very many calls.
     """
-    return query_view.join(ai_functions.drop("warehouse_id"), "query_id", "inner")
+    calls = ai_functions.drop("warehouse_id")
+    details = [column for column in calls.columns if column != "query_id"]
+    return calls.join(query_view, "query_id", "inner").select(*query_view.columns, *details)

@@ -28,12 +28,17 @@ def plain_credits(df: DataFrame) -> DataFrame:
 
 
 def join_history_attribution(views: UsageViews) -> DataFrame:
-    """The two logs joined row by row; AQE splits a hot query on either side."""
+    """The two logs joined row by row; AQE splits a hot query on either side.
+
+    Attribution stands on the left, the side a sort-merge join streams: its rows of a hot query are
+    never held in memory together.
+    """
     queries = views.queries.select(
         "query_id", "start_time", "total_elapsed_time", "credits_used_cloud_services"
     )
     attribution = views.attribution_credits.select("query_id", "credits_attributed_compute")
-    return plain_credits(queries.join(attribution, "query_id", "inner"))
+    joined = attribution.join(queries, "query_id", "inner")
+    return plain_credits(joined.select(*queries.columns, "credits_attributed_compute"))
 
 
 def count_distinct_queries(views: UsageViews) -> DataFrame:

@@ -41,11 +41,21 @@ class StoredLogs:
 
     ``places`` maps a log name to a path (anything with a ``/``) or a table name. Where a log holds
     ``start_date``, the date of its ``start_time``, ranges are held against that column as well.
+
+    A range limits queries by their own start, and attribution is read for all dates to join them.
+    Where every attribution row is known to carry its query's ``start_time``, say so with
+    ``attribution_starts_with_query``: the range then also limits what is read of the attribution.
     """
 
-    def __init__(self, spark: SparkSession, places: Mapping[str, str]):
+    def __init__(
+        self,
+        spark: SparkSession,
+        places: Mapping[str, str],
+        attribution_starts_with_query: bool = False,
+    ):
         self._spark = spark
         self._places = dict(places)
+        self.attribution_starts_with_query = attribution_starts_with_query
 
     def _read(self, name: str, schema: T.StructType) -> DataFrame:
         place = self._places[name]

@@ -100,14 +100,19 @@ class UsageViews:
 
     @cached_property
     def attribution_credits(self) -> DataFrame:
-        """Attribution of all dates, for joins to queries that the range already limits."""
+        """Attribution to join to queries that the range already limits.
+
+        It covers all dates, unless the logs say that attribution starts with its query.
+        """
+        if self._range is not None and self._logs.attribution_starts_with_query:
+            return self.attribution
         if self._user is None:
             return self._logs.attribution_credits
         return governance.attribution_view(self._logs.attribution, self._user)
 
     @cached_property
     def query_credits(self) -> DataFrame:
-        """Credits per query, whatever the date of the attribution."""
+        """Credits per query, whatever dates its attribution has."""
         return credits_per_query(self.attribution_credits)
 
     @cached_property

@@ -67,6 +67,7 @@ def views(spark, queries=(), entries=(), meter=(), ai=(), chats=(), snapshots=()
         ai_analyst=_frame(spark, chats, schemas.AI_ANALYST),
         storage_snapshots=_frame(spark, snapshots, schemas.STORAGE_SNAPSHOTS),
     )
+    logs.attribution_starts_with_query = False
     logs.attribution_credits = logs.attribution.select("query_id", "credits_attributed_compute")
     return UsageViews(logs, user=user)
 

@@ -139,7 +139,10 @@ def test_logs_stored_by_day_are_pruned(spark, small, tmp_path):
     names = ("query_history", "attribution", "metering", "ai_functions", "ai_analyst")
     places = {name: f"{tmp_path}/{name}" for name in names}
     for name in names:
-        store_log(getattr(sample, name), places[name])
+        log = getattr(sample, name)
+        if name == "metering":  # two months of it, to write fewer folders
+            log = log.where("usage_date BETWEEN '1998-02-15' AND '1998-04-15'")
+        store_log(log, places[name])
     stored = UsageViews(StoredLogs(spark, places))
     days, month = ("2024-01-05", "2024-01-10"), ("1998-03-01", "1998-03-31")
     overview_frame = overview.user_overview(stored, *days)
@@ -148,6 +151,15 @@ def test_logs_stored_by_day_are_pruned(spark, small, tmp_path):
     kpis = overview.service_kpis(stored, *month)
     assert rows(kpis) == rows(QUERIES["service_kpis"](spark, small))
     assert "usage_date" in " ".join(re.findall(r"PartitionFilters: \[.*?\]", plan(kpis)))
+    together = UsageViews(StoredLogs(spark, places, attribution_starts_with_query=True))
+    for user in (None, "USER_3"):
+        frame = overview.user_overview(together, *days, user)
+        assert rows(frame) == rows(overview.user_overview(stored, *days, user))
+        pruned = re.findall(r"PartitionFilters: \[.*?\]", plan(frame))
+        assert all("start_date" in part for part in pruned)
+        assert "start_date" not in re.findall(
+            r"PartitionFilters: \[.*?\]", plan(overview.user_overview(stored, *days, user))
+        )[1]
     mine = overview.user_overview(stored, *days, "USER_3")
     assert rows(mine) == rows(QUERIES["user_overview_rls"](spark, small))
     assert plan(mine).count("EqualTo(user_name,USER_3)") >= 2

@@ -20,9 +20,9 @@ _SHIFTS = (40, 20, 0)
 def count_values(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """keys, value, n: how often each non-NULL value occurs per group.
 
-    The coalesce never applies. It declares the value as not nullable, which keeps the optimizer from
-    adding a NULL filter of its own for each later step, so that all steps share one shuffle of the
-    counts.
+    The coalesce never applies. It declares the value as not nullable, which keeps the optimizer
+    from adding a NULL filter of its own for each later step, so that all steps share one shuffle of
+    the counts.
     """
     number = F.coalesce(F.col(value).cast("bigint"), F.lit(0).cast("bigint"))
     return (

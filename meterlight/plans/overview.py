@@ -42,7 +42,9 @@ def service_kpis(views: UsageViews, start: Day = None, end: Day = None) -> DataF
     return (
         views.scoped(start, end)
         .metering.agg(
-            F.count(F.lit(1)).alias("rows"), _total_or_zero(credits).alias("total_credits"), *figures
+            F.count(F.lit(1)).alias("rows"),
+            _total_or_zero(credits).alias("total_credits"),
+            *figures,
         )
         .where(F.col("rows") > 0)
         .drop("rows")

@@ -2,19 +2,27 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from meterlight.llm import bpe, token_files
 from meterlight.llm.exact_dedup import exact_dedup
 from meterlight.llm.kd_shards import shard_documents
 from meterlight.llm.pii import find_pii
 
 SHARDS = 24
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return bpe.round_trip(docs, bpe.build_lexicon(docs, TOKENIZER))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -27,8 +35,15 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(table(spark, sf_dir, "documents"))
 
 
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = token_files.write_token_files(table(spark, sf_dir, "documents"), TOKENIZER)
+    return token_files.documents_of(spark, path)
+
+
 QUERIES = {
+    "op1_bpe": op1_bpe,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_kd_shards": op8_kd_shards,
     "op9_pii": op9_pii,
+    "op10_token_files": op10_token_files,
 }

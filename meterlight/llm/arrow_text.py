@@ -37,7 +37,7 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def map_batches(df: DataFrame, function, schema: str) -> DataFrame:
+def map_batches(df: DataFrame, function, schema) -> DataFrame:
     """``mapInArrow`` with small batches, and with this folder's code at hand on every executor."""
     bounded_batches(df.sparkSession)
     ship_code(df.sparkSession)

@@ -5,12 +5,13 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from meterlight.llm import bpe, token_files
+from meterlight.llm import bpe, langid, quality, token_files
 from meterlight.llm.exact_dedup import exact_dedup
 from meterlight.llm.kd_shards import shard_documents
 from meterlight.llm.pii import find_pii
 
 SHARDS = 24
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
@@ -23,6 +24,16 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(docs, bpe.build_lexicon(docs, TOKENIZER))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score_quality(docs, quality.fit_quality(docs, table(spark, sf_dir, "labels")))
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.predict_languages(docs, langid.fit_languages(docs, PIECES))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -42,6 +53,8 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op3_quality": op3_quality,
+    "op6_language": op6_language,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_kd_shards": op8_kd_shards,
     "op9_pii": op9_pii,

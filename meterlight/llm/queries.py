@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from meterlight.llm import bpe, langid, quality, token_files
 from meterlight.llm.exact_dedup import exact_dedup
+from meterlight.llm.jaccard_join import jaccard_join
 from meterlight.llm.kd_shards import shard_documents
 from meterlight.llm.pii import find_pii
 
@@ -29,6 +30,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(docs, quality.fit_quality(docs, table(spark, sf_dir, "labels")))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.predict_languages(docs, langid.fit_languages(docs, PIECES))
@@ -54,6 +59,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op3_quality": op3_quality,
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_language": op6_language,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_kd_shards": op8_kd_shards,

@@ -1,27 +1,58 @@
-"""A corpus from raw documents, stage by stage; each stage's rows are stored and read again."""
+"""A training corpus from raw documents, stage by stage; each stage's rows are stored and read again."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from meterlight.llm import bpe
+from meterlight.llm.decontaminate import clean_documents
 from meterlight.llm.exact_dedup import kept_documents
+from meterlight.llm.jaccard_join import one_per_class
+from meterlight.llm.quality import fit_quality, good_documents
+from meterlight.llm.queries import TOKENIZER, table
 from meterlight.llm.stored import stored
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality model rejects go; it learns from the labels of ``sf_dir``."""
+    return good_documents(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
+
+
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the smallest id stays."""
     return kept_documents(docs)
 
 
-STAGES = [("exact_dedup", exact_dedup)]
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by a similarity of 0.8 or more the one with the smallest id stays."""
+    return one_per_class(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return clean_documents(docs, table(spark, sf_dir, "benchmark"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token ids of each document, with digests of them and of the text decoded from them."""
+    return bpe.round_trip(docs, bpe.build_lexicon(docs, TOKENIZER))
+
+
+STAGES = [
+    ("quality", quality),
+    ("exact_dedup", exact_dedup),
+    ("near_dedup", near_dedup),
+    ("decontaminate", decontaminate),
+    ("encode", encode),
+]
 
-# The quality model is fitted on the labels, which SQL cannot express.
+# The quality model and the tokenizer cannot be put into SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in turn, from the documents below ``sf_dir``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -336,9 +336,10 @@ def decode(encoded: DataFrame, lexicon: str, id: str = "doc_id", ids: str = "ids
 
 
 def round_trip(docs: DataFrame, lexicon: str, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Encode and decode each text and return digests of both: id, n_tokens, ids_sha256, decoded_sha256.
+    """Encode and decode each text: id, n_tokens, ids, ids_sha256 and decoded_sha256.
 
-    As ``decode(encode(docs))``, but ids and texts do not leave the task.
+    As ``decode(encode(docs))``, but the decoded text does not leave the task. Digests are of the
+    ids as little-endian unsigned 32-bit integers and of the decoded text in UTF-8.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -354,10 +355,14 @@ def round_trip(docs: DataFrame, lexicon: str, id: str = "doc_id", text: str = "t
                     for e, n in zip(ends.tolist(), counts.tolist(), strict=True)
                 ]
                 decoded = [hashlib.sha256(text.encode()).hexdigest() for text in texts]
-                columns = [part.column(0), pa.array(counts), pa.array(digests), pa.array(decoded)]
+                columns = [part.column(0), pa.array(counts), list_column(ids, counts)]
+                columns += [pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    names = ["_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    names = ["_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"]
     rows = docs.select(docs[id].alias("_id"), docs[text].alias("_text"))
-    schema = f"_id {dict(docs.dtypes)[id]}, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    schema = (
+        f"_id {dict(docs.dtypes)[id]}, n_tokens long, ids array<int>,"
+        " ids_sha256 string, decoded_sha256 string"
+    )
     return map_batches(rows, run, schema).withColumnRenamed("_id", id)

@@ -6,9 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from meterlight.llm import bpe, langid, quality, token_files
+from meterlight.llm.decontaminate import contaminated
 from meterlight.llm.exact_dedup import exact_dedup
 from meterlight.llm.jaccard_join import jaccard_join
 from meterlight.llm.kd_shards import shard_documents
+from meterlight.llm.license_scan import scan_licenses
 from meterlight.llm.pii import find_pii
 
 SHARDS = 24
@@ -22,7 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return bpe.round_trip(docs, bpe.build_lexicon(docs, TOKENIZER))
+    return bpe.round_trip(docs, bpe.build_lexicon(docs, TOKENIZER)).drop("ids")
+
+
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +36,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(docs, quality.fit_quality(docs, table(spark, sf_dir, "labels")))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"))
 
@@ -58,7 +68,9 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op2_licenses": op2_licenses,
     "op3_quality": op3_quality,
+    "op4_decontaminate": op4_decontaminate,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_language": op6_language,
     "op7_exact_dedup": op7_exact_dedup,

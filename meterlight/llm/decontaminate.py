@@ -30,6 +30,7 @@ from meterlight.llm.arrow_text import (
     spread,
     words,
 )
+from meterlight.llm.stored import free_name
 
 THRESHOLD = 0.8
 RADIUS = 3
@@ -297,5 +298,6 @@ def clean_documents(
     docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """The rows without any item, with all their columns; rows with a null id are searched alike."""
-    found = contaminated(docs, benchmark, id, text).select(F.col(id).alias("_found")).distinct()
-    return docs.join(found, docs[id].eqNullSafe(F.col("_found")), "left_anti")
+    name = free_name(docs, "_found")
+    found = contaminated(docs, benchmark, id, text).select(F.col(id).alias(name)).distinct()
+    return docs.join(found, F.col(id).eqNullSafe(F.col(name)), "left_anti")

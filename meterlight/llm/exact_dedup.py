@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meterlight.llm.stored import stored
+from meterlight.llm.stored import free_name, stored
 
 PREFIX_CHARS = 64
 
@@ -87,15 +87,10 @@ def exact_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Data
 
 def kept_documents(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows that stay, with all their columns; one of the rows that repeat both id and text."""
+    gone, gone_full = free_name(docs, "_gone"), free_name(docs, "_gone_full")
+    full = free_name(docs, "_full_text")
     dropped = _decided(docs, id, text).where(~F.col("_id").eqNullSafe(F.col("_keep")))
-    dropped = dropped.select(F.col("_id").alias("_gone"), F.col("_full").alias("_gone_full"))
-    marked = docs.withColumn("_full_text", F.sha2(normalized(F.col(text)), 256))
-    return (
-        marked.join(
-            dropped,
-            marked[id].eqNullSafe(F.col("_gone")) & (F.col("_full_text") == F.col("_gone_full")),
-            "left_anti",
-        )
-        .dropDuplicates([id, "_full_text"])
-        .drop("_full_text")
-    )
+    dropped = dropped.select(F.col("_id").alias(gone), F.col("_full").alias(gone_full))
+    marked = docs.withColumn(full, F.sha2(normalized(F.col(text)), 256))
+    same = F.col(id).eqNullSafe(F.col(gone)) & (F.col(full) == F.col(gone_full))
+    return marked.join(dropped, same, "left_anti").dropDuplicates([id, full]).drop(full)

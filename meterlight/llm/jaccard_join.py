@@ -18,9 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterlight.llm.arrow_text import chain, map_batches, parts, shingles, spread, words, hash_spans
+from meterlight.llm.arrow_text import chain, hash_spans, map_batches, parts, shingles, spread, words
 from meterlight.llm.components import components
-from meterlight.llm.stored import stored
+from meterlight.llm.stored import free_name, stored
 from meterlight.session import broadcast_rows
 
 THRESHOLD = 0.8
@@ -375,6 +375,7 @@ def one_per_class(
     docs: DataFrame, id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD
 ) -> DataFrame:
     """The rows whose id is their class's smallest, or null, with all their columns."""
+    name = free_name(docs, "_gone")
     joined = jaccard_join(docs, id, text, threshold)
-    gone = joined.where(F.col(id) != F.col("class_id")).select(F.col(id).alias("_gone")).distinct()
-    return docs.join(gone, docs[id] == F.col("_gone"), "left_anti")
+    gone = joined.where(F.col(id) != F.col("class_id")).select(F.col(id).alias(name)).distinct()
+    return docs.join(gone, F.col(id) == F.col(name), "left_anti")

@@ -102,7 +102,6 @@ def _templates(spark, notices: Sequence[tuple[str, str]]) -> DataFrame:
             F.array(*map(F.lit, notice_words(text))).alias("words"),
         )
         for number, (name, text) in enumerate(notices)
-        if notice_words(text)
     ]
     listed = spark.range(1).select(F.inline(F.array(*rows)))
     shingles = F.array_distinct(_shingles_of(F.col("words"), F.lit(0), F.size("words")))
@@ -127,8 +126,14 @@ def scan_licenses(
     document; an empty table gives an empty result.
     """
     spark = docs.sparkSession
+    notices = [(name, words) for name, words in notices if notice_words(words)]
+    if not notices:
+        none = docs.where(F.lit(False)).select(
+            F.col(id).alias("_id"), *(F.lit(None).cast(kind) for kind in ("int", "string", "double", "long"))
+        )
+        return none.toDF(id, "notice", "license", "containment", "start_word")
     templates = _templates(spark, notices)
-    named = sorted({_length_class(len(notice_words(t))) for _, t in notices if notice_words(t)})
+    named = sorted({_length_class(len(notice_words(words))) for _, words in notices})
     lower = F.lower(F.coalesce(docs[text], F.lit("")))
     has_probe = F.lit(False)
     for word in probes(notices, threshold):

@@ -13,6 +13,13 @@ MIDNIGHT = "midnight"
 WHOLE_DAY = "whole_day"
 
 
+def check_end_rule(end_rule: str) -> str:
+    """The rule, or ``ValueError`` for one that does not exist."""
+    if end_rule not in (MIDNIGHT, WHOLE_DAY):
+        raise ValueError(f"unknown end rule {end_rule!r}")
+    return end_rule
+
+
 def as_date(value: date | str | None) -> date | None:
     return date.fromisoformat(value) if isinstance(value, str) else value
 
@@ -50,8 +57,6 @@ def in_ts_range(
     """
     first, last = check_range(start, end)
     moment = F.col(column)
-    if end_rule == MIDNIGHT:
+    if check_end_rule(end_rule) == MIDNIGHT:
         return df.where((moment >= F.lit(first)) & (moment <= F.lit(last)))
-    if end_rule == WHOLE_DAY:
-        return df.where((moment >= F.lit(first)) & (moment < F.lit(last + timedelta(days=1))))
-    raise ValueError(f"unknown end rule {end_rule!r}")
+    return df.where((moment >= F.lit(first)) & (moment < F.lit(last + timedelta(days=1))))

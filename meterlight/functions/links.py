@@ -9,18 +9,22 @@ from meterlight.fixed_values import LINK_BASE, LINK_END, LINK_MIDDLE
 
 
 def profile_url(
-    query_id: Column | str, org: Column | str, account: Column | str, base: str = LINK_BASE
+    query_id: Column | str,
+    org: Column | str | None = None,
+    account: Column | str | None = None,
+    base: str = LINK_BASE,
+    prefix: Column | str | None = None,
 ) -> Column:
     """The link of a query; NULL when any part is NULL.
 
-    ``org`` and ``account`` may be columns or plain text, ``query_id`` a column or its name.
+    ``org`` and ``account`` may be columns or plain text, ``query_id`` a column or its name. Where
+    links are built from a connection name or an account locator, ``prefix`` is all that stands
+    before the part they share, and ``base``, ``org`` and ``account`` are not used.
     """
     identifier = F.col(query_id) if isinstance(query_id, str) else query_id
+    account_page = [F.lit(base), F.lit(org), F.lit("/"), F.lit(account)]
     return F.concat(
-        F.lit(base),
-        F.lit(org),
-        F.lit("/"),
-        F.lit(account),
+        *(account_page if prefix is None else [F.lit(prefix)]),
         F.lit(LINK_MIDDLE),
         identifier,
         F.lit(LINK_END),

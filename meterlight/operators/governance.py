@@ -13,6 +13,9 @@ from meterlight.functions.links import profile_url
 
 Caller = str | Column | None
 
+# The caller who sees every row; views have to be asked for by this name.
+ADMINISTRATOR = None
+
 
 def row_access(df: DataFrame, user_col: str, user: Caller) -> DataFrame:
     """Rows whose user column equals the caller; a NULL user matches nobody.
@@ -33,11 +36,16 @@ def analyst_view(df: DataFrame, user: Caller = None) -> DataFrame:
 
 
 def query_history_view(
-    df: DataFrame, org: str, account: str, user: Caller = None, base: str = LINK_BASE
+    df: DataFrame,
+    org: str,
+    account: str,
+    user: Caller = None,
+    base: str = LINK_BASE,
+    prefix: str | None = None,
 ) -> DataFrame:
     """The query log, all columns, with a link to each query's profile."""
     visible = row_access(df, "user_name", user)
-    return visible.withColumn("query_id_url", profile_url("query_id", org, account, base))
+    return visible.withColumn("query_id_url", profile_url("query_id", org, account, base, prefix))
 
 
 def ai_query_view(query_view: DataFrame, ai_functions: DataFrame) -> DataFrame:
@@ -45,7 +53,16 @@ def ai_query_view(query_view: DataFrame, ai_functions: DataFrame) -> DataFrame:
 
     The AI log knows no user: the join to the governed query view is what limits the rows. It stands
     on the left, the side a sort-merge join streams, since one query may make very many calls.
+    A further column of the AI log that the query view has too is called ``ai_`` and its name.
     """
     calls = ai_functions.drop("warehouse_id")
+    taken = {column.lower() for column in [*query_view.columns, *calls.columns]}
+    for column in calls.columns:
+        if column != "query_id" and column in query_view.columns:
+            name = f"ai_{column}"
+            while name.lower() in taken:
+                name = f"ai_{name}"
+            taken.add(name.lower())
+            calls = calls.withColumnRenamed(column, name)
     details = [column for column in calls.columns if column != "query_id"]
     return calls.join(query_view, "query_id", "inner").select(*query_view.columns, *details)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from meterlight.session import broadcast_rows, new_shared_path
+from meterlight.session import new_shared_path
 
 
 def number_rows(
@@ -19,7 +19,8 @@ def number_rows(
     A window would sort each group in one task. Instead all rows are range-partitioned by group and
     order and written once to the shared folder, so that their places are settled and outlive an
     executor. A row's number is its place within its partition plus the group's rows in earlier
-    partitions. ``order`` must tell all rows of a group apart for the numbers to be repeatable.
+    partitions; what tells so is one row per group and partition. The copy stays until
+    ``remove_copies`` deletes it. ``order`` must tell all rows of a group apart for the numbers to be repeatable.
     """
     spark = df.sparkSession
     keys = [F.col(column) for column in group]
@@ -42,7 +43,7 @@ def number_rows(
         (F.coalesce(F.sum("_rows").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"),
     )
     rows = placed.alias("rows")
-    shifts = broadcast_rows(shifts, pieces.count()).alias("shifts")
+    shifts = shifts.alias("shifts")
     match = F.col("rows._part") == F.col("shifts._part")
     for column in group:
         match = match & F.col(f"rows.{column}").eqNullSafe(F.col(f"shifts.{column}"))

@@ -17,9 +17,13 @@ _DIGIT_BITS = 20
 _SHIFTS = (40, 20, 0)
 
 
-def count_values(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+def count_values(
+    df: DataFrame, keys: Sequence[str], value: str, repeats: str | None = None
+) -> DataFrame:
     """keys, value, n: how often each non-NULL value occurs per group.
 
+    A row counts as often as its column ``repeats`` says, if there is one.
+
     The coalesce never applies. It declares the value as not nullable, which keeps the optimizer
     from adding a NULL filter of its own for each later step, so that all steps share one shuffle of
     the counts.
@@ -28,7 +32,7 @@ def count_values(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     return (
         df.where(F.col(value).isNotNull())
         .groupBy(*keys, number.alias("value"))
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg((F.count(F.lit(1)) if repeats is None else F.sum(repeats)).alias("n"))
     )
 
 

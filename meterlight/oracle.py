@@ -109,16 +109,16 @@ _LOGS = {
         SELECT 'RIGHT_SIZE' AS rule, warehouse_name AS subject,
                AVG(CASE WHEN bytes_spilled_to_remote_storage > 0 THEN 1.0::DOUBLE ELSE 0 END)
                  AS evidence
-        FROM qh GROUP BY warehouse_name
+        FROM qh WHERE warehouse_name IS NOT NULL GROUP BY warehouse_name
         HAVING AVG(CASE WHEN bytes_spilled_to_remote_storage > 0 THEN 1.0::DOUBLE ELSE 0 END) > 0.05
         UNION ALL
         SELECT 'ERRORS', user_name,
                AVG(CASE WHEN execution_status <> 'SUCCESS' THEN 1.0::DOUBLE ELSE 0 END)
-        FROM qh GROUP BY user_name
+        FROM qh WHERE user_name IS NOT NULL GROUP BY user_name
         HAVING AVG(CASE WHEN execution_status <> 'SUCCESS' THEN 1.0::DOUBLE ELSE 0 END) > 0.25
         UNION ALL
         SELECT 'SPILL', query_id, CAST(bytes_spilled_to_remote_storage AS DOUBLE)
-        FROM qh WHERE bytes_spilled_to_remote_storage >= 20 * 1048576""",
+        FROM qh WHERE bytes_spilled_to_remote_storage >= 20 * 1048576 AND query_id IS NOT NULL""",
     "dearest": """
         SELECT qh.*, CAST(pq.credits AS DOUBLE) AS cost
         FROM qh JOIN pq ON qh.query_id = pq.query_id
@@ -164,12 +164,19 @@ _MD_PLAIN = "service_type, usage_date, " + _plain(
 _AI_PLAIN = f"* REPLACE ({_plain('credits_used_cloud_services', 'token_credits')})"
 _CC = "COALESCE(credits_attributed_compute, 0)"
 
-_OVERVIEW = """
-SELECT COUNT(DISTINCT q.query_id) AS total_queries,
-       CAST(ROUND(SUM(COALESCE(credits_attributed_compute, 0)), 3) AS DOUBLE) AS compute_credits,
-       CAST(ROUND(SUM(COALESCE(credits_used_cloud_services, 0)), 3) AS DOUBLE) AS cs_credits,
-       ROUND(AVG(total_elapsed_time) / 1000, 2) AS avg_execution_seconds
-FROM qh q JOIN qa ON q.query_id = qa.query_id WHERE """
+_FIRST_DAYS = "hist.start_time BETWEEN DATE '2024-01-05' AND DATE '2024-01-10'"
+
+
+def _overview(condition: str) -> str:
+    return (
+        "SELECT COUNT(DISTINCT hist.query_id) AS total_queries, "
+        "CAST(ROUND(SUM(IFNULL(part.credits_attributed_compute, 0)), 3) AS DOUBLE) "
+        "AS compute_credits, "
+        "CAST(ROUND(SUM(IFNULL(hist.credits_used_cloud_services, 0)), 3) AS DOUBLE) AS cs_credits, "
+        "ROUND(AVG(hist.total_elapsed_time) / 1000, 2) AS avg_execution_seconds "
+        f"FROM qa AS part, qh AS hist WHERE part.query_id = hist.query_id AND {condition}"
+    )
+
 
 def _kpis(days: str) -> str:
     figures = ", ".join(
@@ -189,6 +196,23 @@ def _dearest_columns(more: str = "") -> str:
     )
 
 
+# Windows see the whole log; a range is cut from what they give.
+_TREND = (
+    "SELECT warehouse_name, usage_date, CAST(SUM(credits) OVER (PARTITION BY warehouse_name "
+    "ORDER BY usage_date RANGE BETWEEN INTERVAL 6 DAYS PRECEDING AND CURRENT ROW) AS DOUBLE) "
+    "AS credits_7d FROM (SELECT warehouse_name, CAST(start_time AS DATE) AS usage_date, "
+    f"SUM({_CC}) AS credits FROM qa WHERE warehouse_name IS NOT NULL GROUP BY 1, 2)"
+)
+_COST_DAILY = (
+    "SELECT usage_date, CAST(credits AS DOUBLE) AS credits, "
+    "CAST(credits - LAG(credits) OVER (ORDER BY usage_date) AS DOUBLE) AS delta FROM ("
+    "SELECT usage_date, SUM(credits_used) AS credits FROM md GROUP BY 1)"
+)
+_GROWTH = (
+    "SELECT source, snapshot_date, bytes, LAG(bytes) OVER (PARTITION BY source "
+    "ORDER BY snapshot_date NULLS LAST) AS previous_bytes FROM st"
+)
+
 ORACLE_SQL: dict[str, str] = {
     "scan_metering": _sql("md", f"SELECT {_MD_PLAIN} FROM md"),
     "scan_query_history": _sql("qh", f"SELECT {_QH_PLAIN} FROM qh"),
@@ -206,7 +230,15 @@ ORACLE_SQL: dict[str, str] = {
     "row_access": _sql(
         "qh", "SELECT query_id, user_name, start_time FROM qh WHERE user_name = 'USER_3'"
     ),
+    "row_access_session": _sql(
+        "qh", "SELECT query_id, start_time FROM qh WHERE user_name = 'USER_3'"
+    ),
     "profile_url": _sql("qv", "SELECT query_id, query_id_url FROM qv"),
+    "profile_url_prefix": _sql(
+        "qh",
+        "SELECT query_id, 'https://example.test/connection"
+        f"{LINK_MIDDLE}' || query_id || '{LINK_END}' AS query_id_url FROM qh",
+    ),
     "filter_date_range": _sql("md", f"SELECT {_MD_PLAIN} FROM md WHERE {_MONTH}"),
     "filter_ts_range": _sql("qh", f"SELECT query_id, user_name, start_time FROM qh WHERE {_DAYS}"),
     "filter_ts_whole_day": _sql(
@@ -268,26 +300,27 @@ ORACLE_SQL: dict[str, str] = {
         )
         + f" FROM ({_kpis(_MONTH)})",
     ),
-    "user_overview": _sql("qh qa", _OVERVIEW + f"q.{_DAYS.replace(' start', ' q.start')}"),
+    "user_overview": _sql("qh qa", _overview(_FIRST_DAYS)),
     "user_overview_rls": _sql(
         "qh qa",
-        _OVERVIEW
-        + f"q.{_DAYS.replace(' start', ' q.start')}"
-        + " AND q.user_name = 'USER_3' AND qa.user_name = 'USER_3'",
+        _overview(f"{_FIRST_DAYS} AND hist.user_name = 'USER_3' AND part.user_name = 'USER_3'"),
     ),
-    "user_overview_empty": _sql(
+    "user_overview_whole_day": _sql(
         "qh qa",
-        _OVERVIEW + "q.start_time >= DATE '2030-01-05' AND q.start_time <= DATE '2030-01-10'",
+        _overview("CAST(hist.start_time AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-10'"),
     ),
-    "user_overview_sql": _sql("qh qa", _OVERVIEW + f"q.{_DAYS.replace(' start', ' q.start')}"),
+    "user_overview_empty": _sql(
+        "qh qa", _overview("hist.start_time BETWEEN DATE '2030-01-05' AND DATE '2030-01-10'")
+    ),
+    "user_overview_sql": _sql("qh qa", _overview(_FIRST_DAYS)),
+    "stored_user_overview": _sql("qh qa", _overview(_FIRST_DAYS)),
     "format_overview": _sql(
         "qh qa",
         "SELECT FORMAT('{:,}', total_queries) AS total_queries, "
         "FORMAT('{:,.3f}', compute_credits) AS compute_credits, "
         "FORMAT('{:,.3f}', cs_credits) AS cs_credits, "
         "FORMAT('{:,.2f}', avg_execution_seconds) AS avg_execution_seconds FROM ("
-        + _OVERVIEW
-        + f"q.{_DAYS.replace(' start', ' q.start')})",
+        f"{_overview(_FIRST_DAYS)})",
     ),
     "warehouse_daily": _sql(
         "qa",
@@ -300,12 +333,11 @@ ORACLE_SQL: dict[str, str] = {
         f"CAST(SUM({_CC}) AS DOUBLE) AS credits FROM qa "
         "WHERE warehouse_name IS NOT NULL GROUP BY 1, 2",
     ),
-    "warehouse_trend": _sql(
+    "warehouse_trend": _sql("qa", _TREND),
+    "warehouse_trend_range": _sql(
         "qa",
-        "SELECT warehouse_name, usage_date, CAST(SUM(credits) OVER (PARTITION BY warehouse_name "
-        "ORDER BY usage_date RANGE BETWEEN INTERVAL 6 DAYS PRECEDING AND CURRENT ROW) AS DOUBLE) "
-        "AS credits_7d FROM (SELECT warehouse_name, CAST(start_time AS DATE) AS usage_date, "
-        f"SUM({_CC}) AS credits FROM qa WHERE warehouse_name IS NOT NULL GROUP BY 1, 2)",
+        f"SELECT * FROM ({_TREND}) "
+        "WHERE usage_date BETWEEN DATE '2024-01-10' AND DATE '2024-01-20'",
     ),
     "warehouse_efficiency": _sql(
         "qh",
@@ -437,11 +469,11 @@ ORACLE_SQL: dict[str, str] = {
         "AVG(CASE WHEN execution_status <> 'SUCCESS' THEN 1.0::DOUBLE ELSE 0 END) "
         "AS failure_rate FROM qh GROUP BY ROLLUP (warehouse_name, query_type)",
     ),
-    "cost_daily": _sql(
+    "cost_daily": _sql("md", f"SELECT * FROM ({_COST_DAILY}) WHERE {_MONTH}"),
+    "cost_daily_range": _sql(
         "md",
-        "SELECT usage_date, CAST(credits AS DOUBLE) AS credits, "
-        "CAST(credits - LAG(credits) OVER (ORDER BY usage_date) AS DOUBLE) AS delta FROM ("
-        f"SELECT usage_date, SUM(credits_used) AS credits FROM md WHERE {_MONTH} GROUP BY 1)",
+        f"SELECT * FROM ({_COST_DAILY}) "
+        "WHERE usage_date BETWEEN DATE '1998-03-05' AND DATE '1998-03-20'",
     ),
     "cost_by_category": _sql(
         "md",
@@ -475,16 +507,17 @@ ORACLE_SQL: dict[str, str] = {
         "SELECT user_name, EXTRACT(ISODOW FROM start_time) AS weekday, "
         "HOUR(start_time) AS hour_of_day, COUNT(*) AS queries FROM qh GROUP BY 1, 2, 3",
     ),
-    "storage_growth": _sql(
+    "storage_growth": _sql("st", _GROWTH),
+    "storage_growth_range": _sql(
         "st",
-        "SELECT source, snapshot_date, bytes, LAG(bytes) OVER (PARTITION BY source "
-        "ORDER BY snapshot_date NULLS LAST) AS previous_bytes FROM st",
+        f"SELECT * FROM ({_GROWTH}) "
+        "WHERE snapshot_date BETWEEN DATE '2024-01-02' AND DATE '2024-01-03'",
     ),
     "cost_forecast": _sql("projected", "SELECT * FROM projected"),
     "cost_trend": _sql(
-        "projected",
-        "SELECT service_type, slope, CASE WHEN slope > 0.01 THEN 'UP' "
-        "WHEN slope < -0.01 THEN 'DOWN' ELSE 'FLAT' END AS trend FROM projected",
+        "fits",
+        "SELECT service_type, ROUND(slope, 4) AS slope, CASE WHEN slope > 0.01 THEN 'UP' "
+        "WHEN slope < -0.01 THEN 'DOWN' ELSE 'FLAT' END AS trend FROM fits",
     ),
     "budget_scenarios": _sql(
         "projected",

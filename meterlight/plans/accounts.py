@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from meterlight.functions.dates import in_date_range
 from meterlight.functions.measures import compute_credits, or_zero, ratio
 from meterlight.operators.governance import Caller
 from meterlight.operators.per_query import query_totals, times
@@ -15,29 +16,35 @@ from meterlight.views import Day, UsageViews
 # The windows below have no partition: they run over one row per day or per service type.
 
 
-def _daily_cost(views: UsageViews, start: Day, end: Day) -> DataFrame:
-    return (
-        views.scoped(start, end)
-        .metering.groupBy("usage_date")
-        .agg(F.sum("credits_used").alias("credits"))
-    )
+def _daily_cost(metering: DataFrame) -> DataFrame:
+    return metering.groupBy("usage_date").agg(F.sum("credits_used").alias("credits"))
 
 
 def cost_daily(views: UsageViews, start: Day = None, end: Day = None) -> DataFrame:
-    """Credits per day and the change against the day before it in the log."""
+    """Credits per day and the change against the day before it in the log.
+
+    The day before a range's first one is found by its date and read as well.
+    """
+    scope = views.scoped(start, end)
+    days = _daily_cost(scope.metering)
+    if scope.range is not None:
+        log, first = scope.all_dates().metering, F.lit(scope.range[0])
+        last = log.where(F.col("usage_date") < first).agg(F.max("usage_date"))
+        days = days.union(_daily_cost(log.where(F.col("usage_date") == last.scalar())))
     before = F.lag("credits").over(W.orderBy(F.col("usage_date").asc_nulls_last()))
-    return _daily_cost(views, start, end).select(
+    changes = days.select(
         "usage_date",
         F.col("credits").cast("double").alias("credits"),
         (F.col("credits") - before).cast("double").alias("delta"),
     )
+    return changes if scope.range is None else in_date_range(changes, "usage_date", *scope.range)
 
 
 def cost_cumulative(views: UsageViews, start: Day = None, end: Day = None) -> DataFrame:
     """Credits spent up to and including each day."""
     by_day = W.orderBy(F.col("usage_date").asc_nulls_last())
     so_far = by_day.rowsBetween(W.unboundedPreceding, W.currentRow)
-    return _daily_cost(views, start, end).select(
+    return _daily_cost(views.scoped(start, end).metering).select(
         "usage_date", F.sum("credits").over(so_far).cast("double").alias("credits_to_date")
     )
 
@@ -58,11 +65,16 @@ def cost_by_category(views: UsageViews, start: Day = None, end: Day = None) -> D
 
 
 def top_users(
-    views: UsageViews, start: Day = None, end: Day = None, user: Caller = None, count: int = 10
+    views: UsageViews,
+    start: Day = None,
+    end: Day = None,
+    user: Caller = None,
+    end_rule: str | None = None,
+    count: int = 10,
 ) -> DataFrame:
     """The users who spent most, by rank, ties included."""
     spent = (
-        views.scoped(start, end, user)
+        views.scoped(start, end, user, end_rule)
         .attribution.where(F.col("user_name").isNotNull())
         .groupBy("user_name")
         .agg(F.sum(compute_credits()).alias("credits"))
@@ -73,10 +85,14 @@ def top_users(
 
 
 def user_efficiency(
-    views: UsageViews, start: Day = None, end: Day = None, user: Caller = None
+    views: UsageViews,
+    start: Day = None,
+    end: Day = None,
+    user: Caller = None,
+    end_rule: str | None = None,
 ) -> DataFrame:
     """Credits per query, mean elapsed time and success rate per user."""
-    scope = views.scoped(start, end, user)
+    scope = views.scoped(start, end, user, end_rule)
     rows = F.sum("query_rows")
     spent = F.sum(or_zero(times("query_rows", "credits")))
     return (
@@ -93,12 +109,16 @@ def user_efficiency(
 
 
 def user_activity(
-    views: UsageViews, start: Day = None, end: Day = None, user: Caller = None
+    views: UsageViews,
+    start: Day = None,
+    end: Day = None,
+    user: Caller = None,
+    end_rule: str | None = None,
 ) -> DataFrame:
     """Queries per user, weekday (Monday is 1) and hour."""
     moment = F.col("start_time")
     return (
-        views.scoped(start, end, user)
+        views.scoped(start, end, user, end_rule)
         .queries.groupBy(
             "user_name",
             F.extract(F.lit("DAYOFWEEK_ISO"), moment).cast("bigint").alias("weekday"),
@@ -109,11 +129,18 @@ def user_activity(
 
 
 def storage_growth(views: UsageViews, start: Day = None, end: Day = None) -> DataFrame:
-    """Bytes per source and snapshot date, with those of the snapshot before."""
+    """Bytes per source and snapshot date, with those of the snapshot before.
+
+    For a range, each source's last snapshot before it is read as well.
+    """
+    scope = views.scoped(start, end)
+    columns = ["source", "snapshot_date", "bytes"]
+    snapshots = scope.storage.select(*columns)
+    if scope.range is not None:
+        earlier = scope.all_dates().storage.where(F.col("snapshot_date") < F.lit(scope.range[0]))
+        latest = F.max(F.struct("snapshot_date", "bytes")).alias("latest")
+        last = earlier.groupBy("source").agg(latest).select("source", "latest.*")
+        snapshots = snapshots.union(last)
     before = W.partitionBy("source").orderBy(F.col("snapshot_date").asc_nulls_last())
-    return views.scoped(start, end).storage.select(
-        "source",
-        "snapshot_date",
-        "bytes",
-        F.lag("bytes").over(before).alias("previous_bytes"),
-    )
+    growth = snapshots.select(*columns, F.lag("bytes").over(before).alias("previous_bytes"))
+    return growth if scope.range is None else in_date_range(growth, "snapshot_date", *scope.range)

@@ -10,12 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterlight.functions.dates import WHOLE_DAY, in_date_range, in_ts_range
-from meterlight.operators.governance import row_access
+from meterlight.functions.links import profile_url
+from meterlight.operators.governance import ADMINISTRATOR, row_access
 from meterlight.plans import accounts, ai, overview, pieces, planning, queries, warehouse
 from meterlight.plans.export import FORMATS, export_result, read_export
 from meterlight.plans.pieces import plain_credits
 from meterlight.session import new_shared_path
 from meterlight.sources import sample
+from meterlight.sources.logs import StoredLogs, store_log
 from meterlight.views import UsageViews
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +25,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 DAYS = ("2024-01-05", "2024-01-10")
 NO_DAYS = ("2030-01-05", "2030-01-10")
 MONTH = ("1998-03-01", "1998-03-31")
+PART_OF_MONTH = ("1998-03-05", "1998-03-20")
+TREND_DAYS = ("2024-01-10", "2024-01-20")
+SNAPSHOT_DAYS = ("2024-01-02", "2024-01-03")
+LINK_PREFIX = "https://example.test/connection"
 USER = "USER_3"
 TODAY = "2024-01-10"
 HORIZON = 38
@@ -41,7 +47,7 @@ class Analysis:
 
 
 def _views(spark: SparkSession, folder: str) -> UsageViews:
-    return UsageViews(sample.SampleLogs(spark, folder))
+    return UsageViews(sample.SampleLogs(spark, folder), user=ADMINISTRATOR)
 
 
 def _load(loader: Query) -> Query:
@@ -66,6 +72,28 @@ def _row_access(spark: SparkSession, folder: str) -> DataFrame:
     return row_access(_query_ids(spark, folder), "user_name", USER)
 
 
+def _row_access_session(spark: SparkSession, folder: str) -> DataFrame:
+    """One user's queries are given to the session's user, who then asks for them."""
+    mine = F.when(F.col("user_name") == USER, F.current_user()).otherwise(F.col("user_name"))
+    ids = _query_ids(spark, folder).withColumn("user_name", mine)
+    return row_access(ids, "user_name", F.current_user()).select("query_id", "start_time")
+
+
+def _links_with_prefix(spark: SparkSession, folder: str) -> DataFrame:
+    link = profile_url("query_id", prefix=LINK_PREFIX)
+    return _query_ids(spark, folder).select("query_id", link.alias("query_id_url"))
+
+
+def _stored_user_overview(spark: SparkSession, folder: str) -> DataFrame:
+    """The personal overview from logs written by day, which are stored as this is built."""
+    logs, places = sample.SampleLogs(spark, folder), {}
+    for name in ("query_history", "attribution"):
+        places[name] = new_shared_path(spark, "by-day")
+        store_log(getattr(logs, name), places[name])
+    stored = UsageViews(StoredLogs(spark, places, by_day=True), user=ADMINISTRATOR)
+    return overview.user_overview(stored, *DAYS)
+
+
 def _month(spark: SparkSession, folder: str) -> DataFrame:
     return plain_credits(in_date_range(sample.load_metering(spark, folder), "usage_date", *MONTH))
 
@@ -111,6 +139,7 @@ ANALYSES: dict[str, Analysis] = {
     "format_kpis": Analysis(overview.displayed_kpis, MONTH),
     "user_overview": Analysis(overview.user_overview, DAYS),
     "user_overview_rls": Analysis(overview.user_overview, (*DAYS, USER)),
+    "user_overview_whole_day": Analysis(overview.user_overview, DAYS, {"end_rule": WHOLE_DAY}),
     "user_overview_empty": Analysis(overview.user_overview, NO_DAYS),
     "user_overview_sql": Analysis(overview.user_overview_sql, DAYS),
     "format_overview": Analysis(overview.displayed_overview, DAYS),
@@ -118,6 +147,7 @@ ANALYSES: dict[str, Analysis] = {
     "warehouse_daily": Analysis(warehouse.warehouse_daily, DAYS),
     "warehouse_hourly": Analysis(warehouse.warehouse_hourly),
     "warehouse_trend": Analysis(warehouse.warehouse_trend),
+    "warehouse_trend_range": Analysis(warehouse.warehouse_trend, TREND_DAYS),
     "warehouse_efficiency": Analysis(warehouse.warehouse_efficiency),
     "success_rate": Analysis(warehouse.success_rate),
     "cost_per_query": Analysis(warehouse.cost_per_query),
@@ -146,12 +176,14 @@ ANALYSES: dict[str, Analysis] = {
     "failure_rollup": Analysis(queries.failure_rollup),
     # accounts
     "cost_daily": Analysis(accounts.cost_daily, MONTH),
+    "cost_daily_range": Analysis(accounts.cost_daily, PART_OF_MONTH),
     "cost_by_category": Analysis(accounts.cost_by_category),
     "cost_cumulative": Analysis(accounts.cost_cumulative, MONTH),
     "top_users": Analysis(accounts.top_users),
     "user_efficiency": Analysis(accounts.user_efficiency),
     "user_activity": Analysis(accounts.user_activity),
     "storage_growth": Analysis(accounts.storage_growth),
+    "storage_growth_range": Analysis(accounts.storage_growth, SNAPSHOT_DAYS),
     # planning
     "cost_forecast": Analysis(planning.cost_forecast, MONTH, {"horizon": HORIZON}),
     "cost_trend": Analysis(planning.cost_trend, MONTH),
@@ -176,7 +208,10 @@ QUERIES: dict[str, Query] = {
     "ai_query_view": _view("ai_queries"),
     "ai_query_view_rls": _view("ai_queries", USER),
     "row_access": _row_access,
+    "row_access_session": _row_access_session,
     "profile_url": _links,
+    "profile_url_prefix": _links_with_prefix,
+    "stored_user_overview": _stored_user_overview,
     "filter_date_range": _month,
     "filter_ts_range": _days,
     "filter_ts_whole_day": _whole_days,

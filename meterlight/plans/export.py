@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 FORMATS = ("parquet", "csv")
+CLIENT_ROWS = 100_000
 
 
-def _options(file_format: str, null_text: str) -> dict[str, str]:
+def _options(file_format: str, null_text: str, line_ends: bool = True) -> dict[str, str]:
     """For CSV: quotes doubled, blanks and line ends kept, microseconds written."""
     if file_format not in FORMATS:
         raise ValueError(f"cannot export as {file_format!r}")
@@ -17,7 +18,7 @@ def _options(file_format: str, null_text: str) -> dict[str, str]:
     return {
         "header": "true",
         "escape": '"',
-        "multiLine": "true",
+        "multiLine": str(line_ends).lower(),
         "ignoreLeadingWhiteSpace": "false",
         "ignoreTrailingWhiteSpace": "false",
         "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]",
@@ -42,12 +43,23 @@ def read_export(
     schema: T.StructType,
     file_format: str = "parquet",
     null_text: str = "",
+    line_ends: bool = True,
 ) -> DataFrame:
-    """A written result, with the schema it had."""
-    options = _options(file_format, null_text)
+    """A written result, with the schema it had.
+
+    Where no text of a CSV holds a line end, ``line_ends=False`` lets Spark split large files.
+    """
+    options = _options(file_format, null_text, line_ends)
     return spark.read.format(file_format).schema(schema).options(**options).load(path)
 
 
-def to_client(df: DataFrame):
-    """A pandas frame, for aggregated results only: every row comes to the driver."""
-    return df.toPandas()
+def to_client(df: DataFrame, at_most: int = CLIENT_ROWS):
+    """A pandas frame, for aggregated results: every row comes to the driver.
+
+    A result of more than ``at_most`` rows raises ``ValueError`` and is never cut; listings go to
+    ``export_result``.
+    """
+    rows = df.limit(at_most + 1).toPandas()
+    if len(rows) > at_most:
+        raise ValueError(f"more than {at_most} rows; write them with export_result")
+    return rows

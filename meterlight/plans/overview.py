@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meterlight.fixed_values import ADMIN_PLACES, SERVICE_KPIS, USER_PLACES
-from meterlight.functions.dates import check_range
+from meterlight.functions.dates import MIDNIGHT, check_range
 from meterlight.functions.display import format_kpis
 from meterlight.functions.measures import ratio
 from meterlight.operators.governance import Caller
@@ -76,13 +76,17 @@ def repeated_mean_seconds() -> Column:
 
 
 def user_overview(
-    views: UsageViews, start: Day = None, end: Day = None, user: Caller = None
+    views: UsageViews,
+    start: Day = None,
+    end: Day = None,
+    user: Caller = None,
+    end_rule: str | None = None,
 ) -> DataFrame:
     """One row: queries, compute credits, cloud credits and mean seconds, over the joined logs.
 
     Cloud credits and seconds count once per attribution row, as in a plain join.
     """
-    return attributed_queries(views.scoped(start, end, user)).agg(
+    return attributed_queries(views.scoped(start, end, user, end_rule)).agg(
         F.count(F.lit(1)).alias("total_queries"),
         F.round(F.sum(times("query_rows", "credits")), 3).cast("double").alias("compute_credits"),
         F.round(repeated_cloud_credits(), 3).cast("double").alias("cs_credits"),
@@ -91,7 +95,11 @@ def user_overview(
 
 
 def displayed_overview(
-    views: UsageViews, start: Day = None, end: Day = None, user: Caller = None
+    views: UsageViews,
+    start: Day = None,
+    end: Day = None,
+    user: Caller = None,
+    end_rule: str | None = None,
 ) -> DataFrame:
     """The personal overview as text."""
     return format_kpis(user_overview(views, start, end, user), USER_PLACES)
@@ -101,7 +109,7 @@ _OVERVIEW_SQL = """
 WITH credits AS (
   SELECT query_id, COUNT(*) AS entries,
          CAST(SUM(COALESCE(credits_attributed_compute, 0)) AS DECIMAL(25, 9)) AS compute
-  FROM {attribution}
+  FROM {attribution} LEFT SEMI JOIN {queries} USING (query_id)
   GROUP BY query_id
 ),
 queries AS (
@@ -126,9 +134,12 @@ FROM queries q JOIN credits c ON q.query_id = c.query_id
 def user_overview_sql(
     views: UsageViews, start: Day, end: Day, user: Caller = None
 ) -> DataFrame:
-    """``user_overview`` as SQL text, with the dates bound as parameters."""
+    """``user_overview`` as SQL text, with the dates bound as parameters.
+
+    The views have the same range, so that logs stored by day are read for their days only.
+    """
     first, last = check_range(start, end)
-    scope = views.scoped(user=user)
+    scope = views.scoped(first, last, user, MIDNIGHT)
     return scope.queries.sparkSession.sql(
         _OVERVIEW_SQL,
         args={"start_date": first, "end_date": last},

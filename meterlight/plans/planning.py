@@ -8,12 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meterlight.functions.dates import check_range
-from meterlight.functions.measures import failed, ratio, spilled
+from meterlight.functions.measures import failed, ratio, spilled, spilled_remotely
 from meterlight.operators.governance import Caller
 from meterlight.operators.numbering import number_rows
 from meterlight.operators.per_query import query_totals, times
 from meterlight.plans.queries import REMOTE, failing_share
-from meterlight.plans.warehouse import spill_shares
 from meterlight.views import Day, UsageViews
 
 MIB = 1024 * 1024
@@ -66,16 +65,17 @@ def cost_forecast(
 def cost_trend(
     views: UsageViews, start: Day, end: Day, threshold: float = 0.01
 ) -> DataFrame:
-    """Whether each service's daily credits rise or fall."""
+    """Whether each service's daily credits rise or fall; without a slope they are FLAT.
+
+    The slope is held against the threshold before it is rounded.
+    """
     direction = (
         F.when(F.col("slope") > threshold, "UP")
         .when(F.col("slope") < -threshold, "DOWN")
         .otherwise("FLAT")
     )
-    return (
-        _fits(views, start, end)
-        .select("service_type", F.round("slope", 4).alias("slope"))
-        .withColumn("trend", direction)
+    return _fits(views, start, end).select(
+        "service_type", F.round("slope", 4).alias("slope"), direction.alias("trend")
     )
 
 
@@ -107,36 +107,43 @@ def recommendations(
     start: Day = None,
     end: Day = None,
     user: Caller = None,
+    end_rule: str | None = None,
     remote_spill_above: float = 0.05,
     failures_above: float = 0.25,
     spill_bytes_from: int = 20 * MIB,
 ) -> DataFrame:
-    """What to look at: warehouses to enlarge, users whose queries fail, queries that spill."""
-    scope = views.scoped(start, end, user)
-    right_size = (
-        spill_shares(scope)
-        .where(F.col("remote_spill_share") > remote_spill_above)
-        .select(
-            F.lit("RIGHT_SIZE").alias("rule"),
-            F.col("warehouse_name").alias("subject"),
-            F.col("remote_spill_share").alias("evidence"),
-        )
+    """What to look at: warehouses to enlarge, users whose queries fail, queries that spill.
+
+    The shares of both kinds come from one pass that counts per warehouse and user first. Queries
+    without a warehouse, a user or an id count in no subject of that kind.
+    """
+    scope = views.scoped(start, end, user, end_rule)
+    counts = scope.queries.groupBy("warehouse_name", "user_name").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if(spilled_remotely()).alias("spilled"),
+        F.count_if(failed()).alias("failed"),
     )
-    errors = (
-        failing_share(scope)
-        .where(F.col("failure_share") > failures_above)
-        .select(
-            F.lit("ERRORS").alias("rule"),
-            F.col("user_name").alias("subject"),
-            F.col("failure_share").alias("evidence"),
-        )
+    by_warehouse = F.grouping("user_name") == 1
+    shares = counts.groupingSets(
+        [["warehouse_name"], ["user_name"]], "warehouse_name", "user_name"
+    ).agg(
+        F.when(by_warehouse, "RIGHT_SIZE").otherwise("ERRORS").alias("rule"),
+        F.when(by_warehouse, ratio(F.sum("spilled"), F.sum("rows")))
+        .otherwise(ratio(F.sum("failed"), F.sum("rows")))
+        .alias("evidence"),
+    )
+    limit = F.when(F.col("rule") == "RIGHT_SIZE", remote_spill_above).otherwise(failures_above)
+    subject = F.coalesce("warehouse_name", "user_name")
+    shares = shares.where((F.col("evidence") > limit) & subject.isNotNull()).select(
+        "rule", subject.alias("subject"), "evidence"
     )
-    spill = scope.queries.where(F.col(REMOTE) >= spill_bytes_from).select(
+    large = (F.col(REMOTE) >= spill_bytes_from) & F.col("query_id").isNotNull()
+    spill = scope.queries.where(large).select(
         F.lit("SPILL").alias("rule"),
         F.col("query_id").alias("subject"),
         F.col(REMOTE).cast("double").alias("evidence"),
     )
-    return right_size.unionByName(errors).unionByName(spill)
+    return shares.unionByName(spill)
 
 
 def recommendation_plan(
@@ -144,12 +151,16 @@ def recommendation_plan(
     start: Day = None,
     end: Day = None,
     user: Caller = None,
+    end_rule: str | None = None,
     effort: Mapping[str, str] = EFFORT,
     **thresholds: float,
 ) -> DataFrame:
-    """The recommendations in the order to take them: effort class, then place within the rule."""
+    """The recommendations in the order to take them: effort class, then place within the rule.
+
+    Building it runs the job that numbers them and stores a copy (``session.remove_copies``).
+    """
     numbered = number_rows(
-        recommendations(views, start, end, user, **thresholds),
+        recommendations(views, start, end, user, end_rule, **thresholds),
         ["rule"],
         [F.col("evidence").desc(), F.col("subject").asc()],
         "position",
@@ -171,23 +182,39 @@ def potential_savings(
     start: Day = None,
     end: Day = None,
     user: Caller = None,
+    end_rule: str | None = None,
     fractions: Mapping[str, float] = SAVED_FRACTIONS,
+    failures_above: float | None = None,
+    spill_bytes_from: int | None = None,
 ) -> DataFrame:
     """Credits of failed queries and of queries that spilled, and the part that could be saved.
 
-    A query may fall under both rules. Matching rows collapse to one row per query before the join.
+    By default every failed query and every spill counts. With the thresholds of
+    ``recommendations``, only failed queries of users whose share of failures lies above
+    ``failures_above`` and queries with that much remote spill do. A query under both rules counts
+    in both, so the two rows must not be added up. Matching rows collapse to one row per query
+    before the join.
     """
-    scope = views.scoped(start, end, user)
+    scope = views.scoped(start, end, user, end_rule)
+    queries = scope.queries
     rules = {"ERRORS": failed(), "SPILL": spilled()}
+    if failures_above is not None:
+        failing = failing_share(scope).where(
+            (F.col("failure_share") > failures_above) & F.col("user_name").isNotNull()
+        )
+        failing = failing.select("user_name", F.lit(True).alias("_failing"))
+        queries = queries.join(failing, "user_name", "left")
+        rules["ERRORS"] = failed() & F.col("_failing").isNotNull()
+    if spill_bytes_from is not None:
+        rules["SPILL"] = F.col(REMOTE) >= spill_bytes_from
+    matching = queries.where(rules["ERRORS"] | rules["SPILL"])
     matches = F.array_compact(
         F.array(*(F.when(condition, F.lit(rule)) for rule, condition in rules.items()))
     )
     share = F.create_map(*(F.lit(part) for pair in fractions.items() for part in pair))
     return (
-        query_totals(
-            scope.queries.where(rules["ERRORS"] | rules["SPILL"]), matches.alias("rules")
-        )
-        .join(scope.query_credits, "query_id")
+        query_totals(matching, matches.alias("rules"))
+        .join(scope.credits_of(matching), "query_id")
         .select(F.explode("rules").alias("rule"), times("query_rows", "credits").alias("spent"))
         .groupBy("rule")
         .agg(F.sum("spent").cast("double").alias("credits"))

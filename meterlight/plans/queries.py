@@ -28,22 +28,30 @@ def _by_cost(*ids: str) -> list:
 
 
 def spill_queries(
-    views: UsageViews, start: Day = None, end: Day = None, user: Caller = None
+    views: UsageViews,
+    start: Day = None,
+    end: Day = None,
+    user: Caller = None,
+    end_rule: str | None = None,
 ) -> DataFrame:
     """Queries that spilled to disk."""
     return (
-        views.scoped(start, end, user)
+        views.scoped(start, end, user, end_rule)
         .queries.where(spilled())
         .select("query_id", F.col(LOCAL).alias("bytes_local"), F.col(REMOTE).alias("bytes_remote"))
     )
 
 
 def spill_by_warehouse(
-    views: UsageViews, start: Day = None, end: Day = None, user: Caller = None
+    views: UsageViews,
+    start: Day = None,
+    end: Day = None,
+    user: Caller = None,
+    end_rule: str | None = None,
 ) -> DataFrame:
     """Spilled queries and bytes per warehouse, local against remote."""
     return (
-        views.scoped(start, end, user)
+        views.scoped(start, end, user, end_rule)
         .queries.where(spilled())
         .groupBy("warehouse_name")
         .agg(
@@ -55,11 +63,15 @@ def spill_by_warehouse(
 
 
 def spill_impact(
-    views: UsageViews, start: Day = None, end: Day = None, user: Caller = None
+    views: UsageViews,
+    start: Day = None,
+    end: Day = None,
+    user: Caller = None,
+    end_rule: str | None = None,
 ) -> DataFrame:
     """Mean elapsed time of queries that spilled and of those that did not."""
     return (
-        views.scoped(start, end, user)
+        views.scoped(start, end, user, end_rule)
         .queries.groupBy(spilled().alias("spilled"))
         .agg(
             F.count(F.lit(1)).alias("queries"),
@@ -69,11 +81,15 @@ def spill_impact(
 
 
 def spill_daily(
-    views: UsageViews, start: Day = None, end: Day = None, user: Caller = None
+    views: UsageViews,
+    start: Day = None,
+    end: Day = None,
+    user: Caller = None,
+    end_rule: str | None = None,
 ) -> DataFrame:
     """Spilled queries and bytes per day."""
     return (
-        views.scoped(start, end, user)
+        views.scoped(start, end, user, end_rule)
         .queries.where(spilled())
         .groupBy(F.col("start_time").cast("date").alias("usage_date"))
         .agg(
@@ -85,20 +101,28 @@ def spill_daily(
 
 
 def query_details(
-    views: UsageViews, start: Day = None, end: Day = None, user: Caller = None
+    views: UsageViews,
+    start: Day = None,
+    end: Day = None,
+    user: Caller = None,
+    end_rule: str | None = None,
 ) -> DataFrame:
     """The query log, all columns, with profile links."""
-    return views.scoped(start, end, user).queries.withColumn(
+    return views.scoped(start, end, user, end_rule).queries.withColumn(
         "credits_used_cloud_services", F.col("credits_used_cloud_services").cast("double")
     )
 
 
 def error_tracking(
-    views: UsageViews, start: Day = None, end: Day = None, user: Caller = None
+    views: UsageViews,
+    start: Day = None,
+    end: Day = None,
+    user: Caller = None,
+    end_rule: str | None = None,
 ) -> DataFrame:
     """Failed queries and the users they hit, per error code and warehouse."""
     return (
-        views.scoped(start, end, user)
+        views.scoped(start, end, user, end_rule)
         .queries.where(failed())
         .groupBy("error_code", "warehouse_name")
         .agg(
@@ -113,10 +137,10 @@ def _dearest(scope: UsageViews, count: int) -> DataFrame:
 
     Only ``count`` query ids can hold the ``count`` dearest rows. They are found on ids and credits
     alone, and the log is then probed with that many ids, a broadcast bounded by the limit.
+    Attribution of other queries goes before it is summed.
     """
-    logged = scope.queries.select("query_id").distinct()
     ids = (
-        scope.query_credits.join(logged, "query_id", "left_semi")
+        scope.credits_of(scope.queries)
         .orderBy(*_by_cost("query_id"))
         .limit(count)
         .select("query_id", F.col("credits").cast("double").alias("credits"))
@@ -125,11 +149,16 @@ def _dearest(scope: UsageViews, count: int) -> DataFrame:
 
 
 def top_queries(
-    views: UsageViews, start: Day = None, end: Day = None, user: Caller = None, count: int = 20
+    views: UsageViews,
+    start: Day = None,
+    end: Day = None,
+    user: Caller = None,
+    end_rule: str | None = None,
+    count: int = 20,
 ) -> DataFrame:
     """The most expensive queries."""
     return (
-        _dearest(views.scoped(start, end, user), count)
+        _dearest(views.scoped(start, end, user, end_rule), count)
         .select("query_id", "user_name", "warehouse_name", "query_type", "credits")
         .orderBy(*_by_cost("query_id", "user_name", "warehouse_name", "query_type"))
         .limit(count)
@@ -137,11 +166,16 @@ def top_queries(
 
 
 def top_query_resources(
-    views: UsageViews, start: Day = None, end: Day = None, user: Caller = None, count: int = 20
+    views: UsageViews,
+    start: Day = None,
+    end: Day = None,
+    user: Caller = None,
+    end_rule: str | None = None,
+    count: int = 20,
 ) -> DataFrame:
     """The most expensive queries with what they used."""
     return (
-        _dearest(views.scoped(start, end, user), count)
+        _dearest(views.scoped(start, end, user, end_rule), count)
         .select(
             "query_id",
             "user_name",
@@ -159,10 +193,15 @@ def top_query_resources(
 
 
 def top_queries_all(
-    views: UsageViews, start: Day = None, end: Day = None, user: Caller = None, count: int = 25
+    views: UsageViews,
+    start: Day = None,
+    end: Day = None,
+    user: Caller = None,
+    end_rule: str | None = None,
+    count: int = 25,
 ) -> DataFrame:
     """The most expensive queries, warehouse and AI cost side by side."""
-    scope = views.scoped(start, end, user)
+    scope = views.scoped(start, end, user, end_rule)
     warehouse = scope.attributed_in_range.select(
         "query_id", F.lit("WAREHOUSE").alias("kind"), F.col("credits").cast("decimal(38,9)")
     )
@@ -180,23 +219,31 @@ def top_queries_all(
 
 
 def cloud_services_by_type(
-    views: UsageViews, start: Day = None, end: Day = None, user: Caller = None
+    views: UsageViews,
+    start: Day = None,
+    end: Day = None,
+    user: Caller = None,
+    end_rule: str | None = None,
 ) -> DataFrame:
     """Cloud service credits per query type."""
     return (
-        views.scoped(start, end, user)
+        views.scoped(start, end, user, end_rule)
         .queries.groupBy("query_type")
         .agg(F.sum(cloud_credits()).cast("double").alias("cloud_credits"))
     )
 
 
 def compilation_share(
-    views: UsageViews, start: Day = None, end: Day = None, user: Caller = None
+    views: UsageViews,
+    start: Day = None,
+    end: Day = None,
+    user: Caller = None,
+    end_rule: str | None = None,
 ) -> DataFrame:
     """Mean compilation time and its share of the elapsed time, per query type."""
     compiling, elapsed = F.col("compilation_time"), F.col("total_elapsed_time")
     return (
-        views.scoped(start, end, user)
+        views.scoped(start, end, user, end_rule)
         .queries.groupBy("query_type")
         .agg(
             mean(compiling).alias("avg_compilation_ms"),
@@ -206,12 +253,16 @@ def compilation_share(
 
 
 def scan_patterns(
-    views: UsageViews, start: Day = None, end: Day = None, user: Caller = None
+    views: UsageViews,
+    start: Day = None,
+    end: Day = None,
+    user: Caller = None,
+    end_rule: str | None = None,
 ) -> DataFrame:
     """Bytes scanned per user."""
     scanned = F.col("bytes_scanned")
     return (
-        views.scoped(start, end, user)
+        views.scoped(start, end, user, end_rule)
         .queries.groupBy("user_name")
         .agg(
             exact_total(scanned).cast("double").alias("total_bytes"),
@@ -226,13 +277,14 @@ def large_queries(
     start: Day = None,
     end: Day = None,
     user: Caller = None,
+    end_rule: str | None = None,
     fraction: float = 0.95,
 ) -> DataFrame:
     """Queries that scanned at least the given percentile of all queries' bytes.
 
     Bytes are whole, so the limit is rounded up to a BIGINT, which the scan can filter by.
     """
-    queries = views.scoped(start, end, user).queries
+    queries = views.scoped(start, end, user, end_rule).queries
     limit = exact_percentile(queries, [], "bytes_scanned", fraction, "limit")
     return queries.where(
         F.col("bytes_scanned") >= limit.select(F.ceil(F.round("limit", 4))).scalar()
@@ -240,7 +292,11 @@ def large_queries(
 
 
 def failure_rollup(
-    views: UsageViews, start: Day = None, end: Day = None, user: Caller = None
+    views: UsageViews,
+    start: Day = None,
+    end: Day = None,
+    user: Caller = None,
+    end_rule: str | None = None,
 ) -> DataFrame:
     """Failure rate per warehouse and query type, per warehouse, and overall.
 
@@ -248,7 +304,7 @@ def failure_rollup(
     ``level`` is 0 for the finest level, 1 per warehouse, 3 overall.
     """
     return (
-        views.scoped(start, end, user)
+        views.scoped(start, end, user, end_rule)
         .queries.groupBy("warehouse_name", "query_type")
         .agg(F.count(F.lit(1)).alias("rows"), F.count_if(failed()).alias("failures"))
         .rollup("warehouse_name", "query_type")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
+import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,9 @@ _PARTITION_BYTES = 128 * 1024 * 1024
 # Rows of a few numbers and short texts: some ten megabytes on each executor.
 BROADCAST_ROWS = 200_000
 
+# Paths below the shared folder that this process has named.
+_copies: list[str] = []
+
 
 def broadcast_rows(df: DataFrame, at_most: int) -> DataFrame:
     """Broadcast a narrow frame of a known largest size; a larger one is left to the optimizer."""
@@ -56,12 +60,15 @@ def local_session(app: str, cpus: int, memory: str = "8g") -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; where it is unset, that of the application.
 
-    Only in local mode a scratch folder stands in, and becomes that of the application.
+    On a cluster a ``file:`` folder must be a mount that all machines share, which cannot be told
+    from its name: a warning says so. Only in local mode a scratch folder stands in, and becomes that of the application.
     """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder and not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors can reach")
+    if str(folder).startswith("file:") and not context.master.startswith("local"):
+        warnings.warn(f"{folder} must be a mount that all executors share", stacklevel=2)
     if not folder:
         context.setCheckpointDir(tempfile.mkdtemp(prefix="meterlight-"))
         folder = context.getCheckpointDir()
@@ -70,4 +77,20 @@ def shared_folder(spark: SparkSession) -> str:
 
 def new_shared_path(spark: SparkSession, purpose: str) -> str:
     """A path below the shared folder that nothing has used yet."""
-    return f"{shared_folder(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    _copies.append(path)
+    return path
+
+
+def remove_copies(spark: SparkSession, purpose: str = "") -> list[str]:
+    """Delete what this process has stored below the shared folder; returns the paths.
+
+    ``purpose`` (such as ``numbered``) limits it to copies made for that. Frames that still read
+    a copy cannot be used afterwards.
+    """
+    gone = [path for path in _copies if path.rpartition("/")[2].startswith(purpose)]
+    for path in gone:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        _copies.remove(path)
+    return gone

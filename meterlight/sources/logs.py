@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Collection, Mapping
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,12 +19,16 @@ USER_COLUMNS = ("user_name", "username")
 def store_log(df: DataFrame, path: str, mode: str = "error") -> None:
     """Write a log as parquet, one folder per day, so that date ranges read their days only.
 
-    Rows move to the tasks of their day; AQE splits the days that are too large for one task and
+    ``start_time`` is stored without a zone, as the log's schema declares it, and its day follows
+    from that value: a reader in another zone sees the same rows by day and not by day. Rows move to the tasks of their day; AQE splits the days that are too large for one task and
     merges the small ones. Within a file rows are ordered by user, so that the row filter skips row
     groups. A log without ``start_time`` or ``usage_date`` is written as it is.
     """
     if "start_time" in df.columns:
         day = DAY_COLUMN
+        if day in df.columns:
+            raise ValueError(f"the log has a column {day} of its own")
+        df = df.withColumn("start_time", F.col("start_time").cast("timestamp_ntz"))
         df = df.withColumn(day, F.col("start_time").cast("date"))
     elif "usage_date" in df.columns:
         day = "usage_date"
@@ -39,8 +43,9 @@ def store_log(df: DataFrame, path: str, mode: str = "error") -> None:
 class StoredLogs:
     """The usage logs at the given places, read lazily.
 
-    ``places`` maps a log name to a path (anything with a ``/``) or a table name. Where a log holds
-    ``start_date``, the date of its ``start_time``, ranges are held against that column as well.
+    ``places`` maps a log name to a path (anything with a ``/``) or a table name. ``by_day`` names
+    the logs that ``store_log`` wrote, or is ``True`` for all: ranges then read their days only, and
+    the day's own column does not show. In other logs no column is taken for the day.
 
     A range limits queries by their own start, and attribution is read for all dates to join them.
     Where every attribution row is known to carry its query's ``start_time``, say so with
@@ -52,9 +57,13 @@ class StoredLogs:
         spark: SparkSession,
         places: Mapping[str, str],
         attribution_starts_with_query: bool = False,
+        by_day: bool | Collection[str] = False,
     ):
         self._spark = spark
         self._places = dict(places)
+        if isinstance(by_day, bool):
+            by_day = self._places if by_day else ()
+        self.by_day = frozenset(by_day)
         self.attribution_starts_with_query = attribution_starts_with_query
 
     def _read(self, name: str, schema: T.StructType) -> DataFrame:

@@ -69,7 +69,7 @@ def views(spark, queries=(), entries=(), meter=(), ai=(), chats=(), snapshots=()
     )
     logs.attribution_starts_with_query = False
     logs.attribution_credits = logs.attribution.select("query_id", "credits_attributed_compute")
-    return UsageViews(logs, user=user)
+    return UsageViews(logs, user=user)  # no user: the administrator
 
 
 def rows(df):

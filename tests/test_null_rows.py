@@ -19,6 +19,7 @@ ROWS = {
     "user_overview": 1,
     "user_overview_rls": 1,
     "user_overview_empty": 1,
+    "user_overview_whole_day": 1,
     "user_overview_sql": 1,
     "format_overview": 1,
     "sum_coalesce": 1,

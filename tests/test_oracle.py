@@ -8,7 +8,8 @@ import os
 import duckdb
 import pytest
 
-import __spark_entry__ as contract
+from meterlight.oracle import ORACLE_SQL
+from meterlight.plans.catalog import QUERIES
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -44,8 +45,8 @@ def duck(folder):
 
 
 def compare(spark, folder, name):
-    result = contract.queries()[name](spark, folder)
-    answer = duck(folder).execute(contract.oracle_sql()[name])
+    result = QUERIES[name](spark, folder)
+    answer = duck(folder).execute(ORACLE_SQL[name])
     columns = [part[0] for part in answer.description]
     kinds = {part[0]: str(part[1]) for part in answer.description}
     assert sorted(result.columns) == sorted(columns)
@@ -57,9 +58,9 @@ def compare(spark, folder, name):
 
 
 def test_every_result_has_sql():
-    assert contract.queries().keys() == contract.oracle_sql().keys()
+    assert QUERIES.keys() == ORACLE_SQL.keys()
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_equals_sql(spark, medium, name):
     compare(spark, medium, name)

@@ -9,17 +9,16 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
-from meterlight import SampleLogs, UsageViews
+from meterlight import ADMINISTRATOR, SampleLogs, UsageViews
 from meterlight.functions.measures import compute_credits
 from meterlight.plans import overview, warehouse
-from meterlight.plans.catalog import DAYS
+from meterlight.plans.catalog import DAYS, QUERIES
 from meterlight.plans.export import export_result, read_export, to_client
 
-QUERIES = contract.queries()
 
 
 def test_warehouse_days_add_up(spark, medium):
-    scope = UsageViews(SampleLogs(spark, medium)).scoped(*DAYS)
+    scope = UsageViews(SampleLogs(spark, medium), user=ADMINISTRATOR).scoped(*DAYS)
     whole = scope.attribution.agg(F.sum(compute_credits()).cast("double")).first()[0]
     parts = QUERIES["warehouse_daily"](spark, medium).agg(F.sum("credits")).first()[0]
     assert parts == pytest.approx(whole)
@@ -32,7 +31,7 @@ def test_key_figures_add_up(spark, medium):
 
 
 def test_callers_share_out_the_log(spark, small):
-    logs = UsageViews(SampleLogs(spark, small))
+    logs = UsageViews(SampleLogs(spark, small), user=ADMINISTRATOR)
     everything = logs.attribution.select("query_id", "user_name")
     users = [r[0] for r in everything.select("user_name").distinct().collect() if r[0]]
     seen = sum(logs.scoped(user=user).attribution.count() for user in users)

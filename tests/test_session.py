@@ -44,3 +44,8 @@ def test_scale_settings():
     large = int(scale_settings(100 * 10**12, 4000)["spark.sql.shuffle.partitions"])
     assert large % 4000 == 0
     assert 100 * 10**12 / large <= 128 * 1024 * 1024
+
+
+def test_a_plain_file_folder_on_a_cluster_is_warned_about():
+    with pytest.warns(UserWarning):
+        shared_folder(fake("yarn", "file:/mnt/shared"))

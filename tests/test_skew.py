@@ -4,8 +4,7 @@ import duckdb
 import pytest
 from test_oracle import TABLES, compare
 
-import __spark_entry__ as contract
-
+from meterlight.plans.catalog import QUERIES
 
 
 def replaced(**columns):
@@ -61,7 +60,7 @@ def skewed(small, tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_skewed(spark, skewed, name):
     compare(spark, skewed, name)
 
@@ -79,7 +78,7 @@ def in_many_files(spark, skewed, tmp_path_factory):
 @pytest.mark.parametrize(
     "name",
     ["join_history_attribution", "scan_attribution", "warehouse_daily", "warehouse_trend",
-     "top_users", "scan_ai_analyst", "ai_query_view", "ai_daily", "ai_function_perf"],
+     "top_users", "scan_ai_analyst", "ai_query_view"],
 )
 def test_hot_rows_are_split_over_tasks(spark, in_many_files, name):
     """AQE splits the hot id of every join of raw log rows (thresholds scaled down to the sample)."""
@@ -95,7 +94,7 @@ def test_hot_rows_are_split_over_tasks(spark, in_many_files, name):
     for key, value in small_parts.items():
         spark.conf.set(key, value)
     try:
-        frame = contract.queries()[name](spark, in_many_files)
+        frame = QUERIES[name](spark, in_many_files)
         frame.collect()
         text = frame._jdf.queryExecution().executedPlan().toString()
     finally:

@@ -31,6 +31,7 @@ WORD_BYTES = 32
 ROUNDS = 3
 CHUNK = 16_384
 FLOOR = 1e-7
+MOST_LANGUAGES = 500
 _SCALE = 1 << 30
 
 _LETTER = np.zeros(256, bool)
@@ -187,14 +188,15 @@ def _word_counts(docs: DataFrame, id: str, text: str, lang: str, most: int) -> D
     """How often each word occurs in each language, over about ``most`` training texts of each."""
     known = docs.where(F.col(lang).isNotNull() & ~held_out(F.col(id)))
     sizes = known.groupBy(F.col(lang).alias("_lang")).agg(F.count(F.lit(1)).alias("_docs"))
+    sizes = sizes.limit(MOST_LANGUAGES + 1).collect()
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     mark = F.pmod(F.xxhash64(F.col(id).cast("string")), F.lit(_SCALE))
-    # One row per language.
-    sample = (
-        known.select(F.col(lang).alias("_lang"), F.col(text).alias("_text"), mark.alias("_mark"))
-        .join(F.broadcast(sizes), "_lang")
-        .where(F.col("_mark") * F.col("_docs") < F.lit(_SCALE * most))
-        .select("_lang", "_text")
-    )
+    chosen = F.lit(False)
+    for row in sizes:
+        share = min(_SCALE, _SCALE * most // row["_docs"])
+        chosen = chosen | ((F.col(lang) == row["_lang"]) & (mark < share))
+    sample = known.where(chosen).select(F.col(lang).alias("_lang"), F.col(text).alias("_text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -234,7 +236,8 @@ def fit_languages(
     """Fit one piece model per language and send them to all executors; returns the file's name.
 
     Learns from the text of about ``most`` documents per language outside the held-out fold, chosen
-    by a hash of the id; the driver gets the words of these with their counts.
+    by a hash of the id; the driver gets the words of these with their counts. More than 500
+    languages are refused.
     """
     rows = _word_counts(docs, id, text, lang, most).orderBy("word", "lang").collect()
     langs = sorted({row["lang"] for row in rows})

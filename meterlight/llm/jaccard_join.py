@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,7 @@ THRESHOLD = 0.8
 TOLERANCE = 1e-6
 BANDS = 40
 BAND_VALUES = 5
+BAND_MASK = 63
 VALUES = BANDS * BAND_VALUES
 STEP_VALUES = 20
 BLOCK = 512
@@ -37,6 +39,7 @@ _A = np.uint64(0x9E3779B97F4A7C15)
 _B = np.uint64(0xD6E8FEB86659FD93)
 
 
+@lru_cache(maxsize=8)
 def least_matches(threshold: float, tolerance: float) -> np.ndarray:
     """Per number of compared values: how many must agree for a pair to stay.
 
@@ -96,6 +99,7 @@ def _signed(docs: DataFrame, id: str, text: str) -> DataFrame:
                     for k in range(BAND_VALUES):
                         mixed = (mixed ^ bands[:, :, k]) * _A
                         mixed ^= mixed >> np.uint64(29)
+                    mixed = (mixed & ~np.uint64(BAND_MASK)) | np.arange(BANDS, dtype=np.uint64)
                     for row, key in zip(full, mixed.view(np.int64), strict=True):
                         keys[row] = key
                 hashes = [_set_hash(s) for s in sets]
@@ -125,20 +129,23 @@ def _candidates(classes: DataFrame) -> DataFrame:
     (band -1). In larger ones, which chance collisions could build at any size, each bucket is a
     group of its own, and a pair is compared in the first band in which it agrees.
     """
-    in_bucket = classes.select("node", F.posexplode("keys").alias("band", "key"))
-    buckets = in_bucket.groupBy("band", "key").agg(
+    # A key holds its band in the lowest bits, so that a row is two longs.
+    in_bucket = classes.select("node", F.explode("keys").alias("key"))
+    buckets = in_bucket.groupBy("key").agg(
         F.count(F.lit(1)).alias("n"),
         F.min("node").alias("low"),
-        F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("members"),
+        F.bit_xor(F.xxhash64("node")).alias("members"),
     )
+    first = F.min(F.struct(F.col("key").bitwiseAND(BAND_MASK).alias("band"), "key")).alias("b")
     buckets = (
         buckets.where("n > 1")
         .groupBy("n", "low", "members")
-        .agg(F.min(F.struct("band", "key")).alias("b"))
-        .select("b.band", "b.key", "n", "low")
+        .agg(first)
+        .select(F.col("b.band").cast("int").alias("band"), "b.key", "n", "low")
     )
     buckets = stored(buckets, "buckets")
-    held = stored(in_bucket.join(buckets, ["band", "key"]), "bucket-members")
+    held = in_bucket.join(broadcast_rows(buckets, buckets.count()), "key")
+    held = stored(held, "bucket-members")
     roots = components(held.select("node", "low"))
     nodes = held.select("node").distinct().join(roots, "node", "left")
     nodes = nodes.select("node", F.coalesce("root", "node").alias("root"))
@@ -150,7 +157,7 @@ def _candidates(classes: DataFrame) -> DataFrame:
     )
     large = placed.where(F.col("n") > WHOLE_GROUP).select("node")
     single = held.join(large, "node").select(
-        "node", F.xxhash64("band", "key").alias("grp"), "band", "n"
+        "node", F.col("key").alias("grp"), "band", "n"
     )
     return whole.union(single)
 

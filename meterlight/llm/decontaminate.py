@@ -30,7 +30,6 @@ from meterlight.llm.arrow_text import (
     spread,
     words,
 )
-from meterlight.llm.stored import free_name
 
 THRESHOLD = 0.8
 RADIUS = 3
@@ -253,15 +252,10 @@ def contaminated(
     """
     kind = f"_id {dict(docs.dtypes)[id]}, _item {dict(benchmark.dtypes)[item_id]}"
     item_type = benchmark.schema[item_id].dataType
-    named = benchmark.select(F.col(item_id).alias("_item"), F.col(item_text).alias("_text"))
-    passes = max(1, -(-benchmark.count() // ITEMS_AT_ONCE))
     rows = docs.select(docs[id].alias("_id"), docs[text].alias("_text"))
     schema = f"{kind}, similarity double, start_word long, n_words long"
     result = None
-    for number in range(passes):
-        mine = F.pmod(F.xxhash64("_item", "_text"), F.lit(passes)) == number
-        block = named.where(mine).orderBy("_item", "_text").collect()
-        items = build_items([row["_item"] for row in block], [row["_text"] for row in block])
+    for items in _item_blocks(benchmark, item_id, item_text):
         found = map_batches(rows, _searcher(docs.sparkSession, items, item_type), schema)
         result = found if result is None else result.union(found)
     return result.select(
@@ -269,6 +263,16 @@ def contaminated(
     )
 
 
+def _item_blocks(benchmark: DataFrame, item_id: str, item_text: str) -> Iterator[Items]:
+    """The items in blocks that the driver and the tasks can hold; one at least."""
+    named = benchmark.select(F.col(item_id).alias("_item"), F.col(item_text).alias("_text"))
+    passes = max(1, -(-benchmark.count() // ITEMS_AT_ONCE))
+    for number in range(passes):
+        mine = F.pmod(F.xxhash64("_item", "_text"), F.lit(passes)) == number
+        block = named.where(mine).orderBy("_item", "_text").collect()
+        yield build_items([row["_item"] for row in block], [row["_text"] for row in block])
+
+
 def _searcher(spark, items: Items, item_type):
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -295,9 +299,31 @@ def _searcher(spark, items: Items, item_type):
 
 
 def clean_documents(
-    docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text"
+    docs: DataFrame,
+    benchmark: DataFrame,
+    text: str = "text",
+    item_id: str = "item_id",
+    item_text: str = "text",
 ) -> DataFrame:
-    """The rows without any item, with all their columns; rows with a null id are searched alike."""
-    name = free_name(docs, "_found")
-    found = contaminated(docs, benchmark, id, text).select(F.col(id).alias(name)).distinct()
-    return docs.join(found, F.col(id).eqNullSafe(F.col(name)), "left_anti")
+    """The rows whose text holds no item, with all their columns; see ``contaminated``.
+
+    Rows are judged one by one where they are: there is no join, and ids may be null or repeat.
+    """
+    for items in _item_blocks(benchmark, item_id, item_text):
+        docs = map_batches(docs, _cleaner(docs, items, text), docs.schema)
+    return docs
+
+
+def _cleaner(docs: DataFrame, items: Items, text: str):
+    sent = docs.sparkSession.sparkContext.broadcast(items)
+    place = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = sent.value
+        for batch in batches:
+            for part in parts(batch, text, TEXT_BYTES):
+                clean = np.ones(part.num_rows, bool)
+                clean[[t for t, _, _, _ in find_items(known, part.column(place))]] = False
+                yield part.filter(pa.array(clean))
+
+    return run

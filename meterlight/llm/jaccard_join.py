@@ -381,8 +381,13 @@ def jaccard_join(
 def one_per_class(
     docs: DataFrame, id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD
 ) -> DataFrame:
-    """The rows whose id is their class's smallest, or null, with all their columns."""
+    """The rows whose id is their class's smallest, or null, with all their columns.
+
+    Where several texts share an id, they all stay if one of them is its class's first.
+    """
     name = free_name(docs, "_gone")
     joined = jaccard_join(docs, id, text, threshold)
-    gone = joined.where(F.col(id) != F.col("class_id")).select(F.col(id).alias(name)).distinct()
+    others = F.bool_and(F.col(id) != F.col("class_id")).alias("_others")
+    gone = joined.where(F.col(id).isNotNull()).groupBy(F.col(id).alias(name)).agg(others)
+    gone = gone.where("_others").select(name)
     return docs.join(gone, F.col(id) == F.col(name), "left_anti")

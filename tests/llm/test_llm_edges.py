@@ -129,6 +129,8 @@ def test_decontamination(docs, none, benchmark):
     clean = clean_documents(docs, benchmark)
     assert clean.columns == docs.columns
     assert pairs(clean, "doc_id") == sorted(((r[0],) for r in ROWS if r[0] != 8), key=repr)
+    twice = docs.where("doc_id in (7, 8)").withColumn("doc_id", F.lit(7))
+    assert pairs(clean_documents(twice, benchmark), "doc_id") == [(7,)]
     assert contaminated(none, benchmark).collect() == []
     assert contaminated(docs, benchmark.where("false")).collect() == []
 
@@ -148,6 +150,9 @@ def test_jaccard_join(docs, none):
     assert kept.columns == docs.columns
     assert pairs(kept, "doc_id") == sorted(((r[0],) for r in ROWS if r[0] not in (2, 7)), key=repr)
     assert jaccard_join(none).collect() == []
+    shared = docs.where("doc_id in (6, 7)").withColumn("doc_id", F.lit(7)).union(docs.where("doc_id = 6"))
+    shared = shared.union(docs.where("doc_id = 5").withColumn("doc_id", F.lit(7).cast("long")))
+    assert pairs(one_per_class(shared), "doc_id") == [(6,), (7,), (7,), (7,)]
 
 
 @pytest.mark.parametrize("block, whole", [(512, 8192), (7, 8192), (7, 10)])

@@ -6,106 +6,120 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meterlight.llm.stored import stored
 from meterlight.operators.numbering import number_rows
 
 BINS = 1024
+# What the driver takes of one pass at most: a sum per open node and piece.
+MOST_SUMS = 1 << 20
 
 
 @dataclass
 class _Node:
-    """Rows with ``low <= rank < high`` in some dimensions, to be cut into ``leaves`` shards."""
+    """A part of the rows that is to be cut into ``leaves`` shards, of which ``first`` is the first."""
 
-    first: int  # its first shard
+    first: int
     leaves: int
-    bounds: dict[str, tuple[int, int]]
 
-    def holds(self, total: int) -> Column:
-        inside = F.lit(True)
-        for name, (low, high) in self.bounds.items():
-            if low > 0:
-                inside = inside & (F.col(name) >= low)
-            if high < total:
-                inside = inside & (F.col(name) < high)
-        return inside
 
+@dataclass
+class _Bracket:
+    """Where a node's cut lies: ranks of one dimension, and the weight of the ranks before them."""
 
-def _node_of(nodes: Sequence[_Node], total: int) -> Column:
-    place = F.lit(None).cast("int")
-    for number, node in enumerate(nodes):
-        place = F.when(node.holds(total), F.lit(number)).otherwise(place)
-    return place
+    dim: int
+    low: int
+    high: int
+    before: int
+    wanted: float
+    width: int = 0
 
 
-def _widest(rows: DataFrame, nodes: Sequence[_Node], dims: Sequence[str], total: int):
-    """Per node: the dimension over which its rows' ranks spread most, its extent, and the weight."""
+def _brackets(rows: DataFrame, nodes: dict[int, _Node], dims: int) -> dict[int, _Bracket]:
+    """Per node the dimension over which its rows' ranks spread most, from end to end."""
     extents = (
-        rows.withColumn("_node", _node_of(nodes, total))
-        .where("_node is not null")
-        .groupBy("_node")
+        rows.groupBy("_node")
         .agg(
             F.sum("_weight").alias("weight"),
-            *(F.min(name).alias(f"min{name}") for name in dims),
-            *(F.max(name).alias(f"max{name}") for name in dims),
+            *(F.min(F.col("_ranks")[k]).alias(f"min{k}") for k in range(dims)),
+            *(F.max(F.col("_ranks")[k]).alias(f"max{k}") for k in range(dims)),
         )
         .collect()
     )
     found = {}
     for row in extents:
-        name = max(dims, key=lambda n: row[f"max{n}"] - row[f"min{n}"])
-        found[row["_node"]] = (name, row[f"min{name}"], row[f"max{name}"] + 1, row["weight"])
+        node = nodes[row["_node"]]
+        if node.leaves > 1:
+            k = max(range(dims), key=lambda k: row[f"max{k}"] - row[f"min{k}"])
+            wanted = row["weight"] * (node.leaves // 2) / node.leaves
+            found[row["_node"]] = _Bracket(k, row[f"min{k}"], row[f"max{k}"] + 1, 0, wanted)
     return found
 
 
-def _cuts(rows: DataFrame, nodes: Sequence[_Node], wide: dict, total: int) -> dict[int, int]:
-    """Per node the rank below which its left leaves' part of the weight lies.
+def _cuts(rows: DataFrame, brackets: dict[int, _Bracket]) -> dict[int, tuple[int, int]]:
+    """Per node the dimension, and the rank below which its left leaves' part of the weight lies.
 
-    Each round counts the weight of at most ``BINS`` equal pieces of every open bracket in one
-    pass that combines on the map side, and goes on in the piece where the part is reached.
+    Each round counts the weight of equal pieces of every open bracket in one pass that combines on
+    the map side, and goes on in the piece where the part is reached.
     """
-    open_at = {n: (low, high, 0) for n, (_, low, high, _) in wide.items()}
-    wanted = {n: wide[n][3] * (nodes[n].leaves // 2) / nodes[n].leaves for n in wide}
-    cut = {}
-    while open_at:
-        piece = F.lit(None).cast("long")
-        node = F.lit(None).cast("int")
-        widths = {}
-        for n, (low, high, _) in open_at.items():
-            name = wide[n][0]
-            widths[n] = math.ceil((high - low) / BINS)
-            here = nodes[n].holds(total) & (F.col(name) >= low) & (F.col(name) < high)
-            node = F.when(here, F.lit(n)).otherwise(node)
-            offset = F.floor((F.col(name) - F.lit(low)) / F.lit(widths[n])).cast("long")
-            piece = F.when(here, offset).otherwise(piece)
+    spark, cut, left = rows.sparkSession, {}, dict(brackets)
+    while left:
+        bins = max(2, min(BINS, MOST_SUMS // len(left)))
+        for bracket in left.values():
+            bracket.width = math.ceil((bracket.high - bracket.low) / bins)
+        # One row per open node.
+        listed = spark.createDataFrame(
+            [(n, b.dim, b.low, b.high, b.width) for n, b in left.items()],
+            "_node long, _dim int, _low long, _high long, _width long",
+        )
+        rank = F.col("_ranks")[F.col("_dim")]
         counted = (
-            rows.select(node.alias("n"), piece.alias("p"), "_weight")
-            .where("n is not null")
-            .groupBy("n", "p")
-            .agg(F.sum("_weight").alias("w"))
+            rows.join(F.broadcast(listed), "_node")
+            .where((rank >= F.col("_low")) & (rank < F.col("_high")))
+            .groupBy("_node", F.floor((rank - F.col("_low")) / F.col("_width")).alias("_piece"))
+            .agg(F.sum("_weight").alias("_sum"))
+            .orderBy("_node", "_piece")
             .collect()
         )
-        after = {}
-        for n, (low, high, before) in open_at.items():
-            pieces = sorted((row["p"], row["w"]) for row in counted if row["n"] == n)
-            for p, weight in pieces:
-                begin = low + p * widths[n]
-                if before + weight < wanted[n]:
-                    before += weight
+        pieces: dict[int, list[tuple[int, int]]] = {}
+        for row in counted:
+            pieces.setdefault(row["_node"], []).append((row["_piece"], row["_sum"]))
+        for n, bracket in list(left.items()):
+            for piece, weight in pieces[n]:
+                begin = bracket.low + piece * bracket.width
+                if bracket.before + weight < bracket.wanted:
+                    bracket.before += weight
                     continue
-                if widths[n] > 1:
-                    after[n] = (begin, min(high, begin + widths[n]), before)
+                if bracket.width > 1:
+                    bracket.low, bracket.high = begin, min(bracket.high, begin + bracket.width)
                 else:
                     # The row at this rank spans the wanted weight: it goes where it fits better.
-                    left = wanted[n] - before > weight / 2
-                    cut[n] = begin + 1 if left else begin
+                    goes_left = bracket.wanted - bracket.before > weight / 2
+                    cut[n] = bracket.dim, begin + 1 if goes_left else begin
+                    del left[n]
                 break
-        open_at = after
     return cut
 
 
+def _split(rows: DataFrame, nodes: dict[int, _Node], cut: dict[int, tuple[int, int]]) -> DataFrame:
+    """Move each row of a cut node to the node's left or right child, and the tree with it."""
+    listed = []
+    for n, (dim, at) in cut.items():
+        node, right = nodes[n], len(nodes)
+        half = node.leaves // 2
+        nodes[right] = _Node(node.first + half, node.leaves - half)
+        nodes[n] = _Node(node.first, half)
+        listed.append((n, dim, at, right))
+    # One row per cut node.
+    cuts = rows.sparkSession.createDataFrame(listed, "_node long, _dim int, _at long, _right long")
+    moved = rows.join(F.broadcast(cuts), "_node", "left")
+    goes_right = F.col("_ranks")[F.col("_dim")] >= F.col("_at")
+    node = F.when(goes_right, F.col("_right")).otherwise(F.col("_node"))
+    return stored(moved.withColumn("_node", node).drop("_dim", "_at", "_right"), "kd-nodes")
+
+
 def kd_shards(
     rows: DataFrame,
     id: str,
@@ -120,36 +134,36 @@ def kd_shards(
     leaves, or, with ``target``, until a leaf holds about that weight. Every dimension is first
     turned into ranks (ties go by id, then weight), so that widths compare and each cut can fall
     between any two rows; a dimension in which a third of the rows share one value still splits
-    evenly. What the driver holds is the tree and at most 1024 sums per open node.
+    evenly. What the driver holds is the tree and at most a million sums at a time; every round of
+    a level reads the stored, narrow rows once.
 
     Leaves' weights differ by a few rows' weight at most. Nulls come first in a dimension and in
     the id. Rows that repeat are placed each on its own. An empty table gives an empty result.
     Columns other than those named pass through; the names shard and slot are taken.
     """
     ranked = rows.select("*")
-    ranks = {f"_rank{k}": name for k, name in enumerate(dims)}
-    for rank, name in ranks.items():
-        order = [F.col(name), F.col(id), F.col(weight)]
-        ranked = number_rows(ranked, [], order, rank)
-    ranked = stored(ranked.withColumn("_weight", F.col(weight).cast("long")), "ranked")
-    total, heavy = ranked.agg(F.count(F.lit(1)), F.sum("_weight")).first()
+    ranks = [f"_rank{k}" for k in range(len(dims))]
+    for rank, name in zip(ranks, dims, strict=True):
+        ranked = number_rows(ranked, [], [F.col(name), F.col(id), F.col(weight)], rank)
+    placed = ranked.withColumns(
+        {
+            "_ranks": F.array(*ranks),
+            "_weight": F.col(weight).cast("long"),
+            "_node": F.lit(0).cast("long"),
+        }
+    )
+    placed = stored(placed.drop(*ranks), "kd-nodes")
     if shards is None:
-        shards = max(1, math.ceil((heavy or 0) / target))
-    nodes = [_Node(0, shards, {name: (0, total + 1) for name in ranks})]
-    while any(node.leaves > 1 for node in nodes):
-        active = [node for node in nodes if node.leaves > 1]
-        done = [node for node in nodes if node.leaves == 1]
-        wide = _widest(ranked, active, list(ranks), total + 1)
-        cut = _cuts(ranked, active, wide, total + 1)
-        for n, node in enumerate(active):
-            name = wide[n][0] if n in wide else next(iter(ranks))
-            low, high = node.bounds[name]
-            at = cut.get(n, high)
-            left = node.leaves // 2
-            done.append(_Node(node.first, left, node.bounds | {name: (low, at)}))
-            done.append(_Node(node.first + left, node.leaves - left, node.bounds | {name: (at, high)}))
-        nodes = sorted(done, key=lambda node: node.first)
-    placed = ranked.withColumn("shard", _node_of(nodes, total + 1)).drop(*ranks, "_weight")
+        total = placed.agg(F.sum("_weight")).first()[0] or 0
+        shards = max(1, math.ceil(total / target))
+    nodes = {0: _Node(0, shards)}
+    while brackets := _brackets(placed, nodes, len(dims)):
+        placed = _split(placed, nodes, _cuts(placed, brackets))
+    leaves = placed.sparkSession.createDataFrame(
+        [(n, node.first) for n, node in nodes.items()], "_node long, shard int"
+    )
+    # One row per leaf.
+    placed = placed.join(F.broadcast(leaves), "_node").drop("_node", "_ranks", "_weight")
     numbered = number_rows(placed, ["shard"], [F.col(id), F.col(weight)], "slot")
     return numbered.withColumn("slot", F.col("slot") - 1)
 

@@ -88,7 +88,7 @@ def _windows_of(words: Column, length: int) -> Column:
     )
 
 
-def _length_class(words: int) -> int:
+def length_class(words: int) -> int:
     return next((length for length in LENGTHS if words <= length), words)
 
 
@@ -98,7 +98,7 @@ def _templates(spark, notices: Sequence[tuple[str, str]]) -> DataFrame:
         F.struct(
             F.lit(number).alias("notice"),
             F.lit(name).alias("license"),
-            F.lit(_length_class(len(notice_words(text)))).alias("length"),
+            F.lit(length_class(len(notice_words(text)))).alias("length"),
             F.array(*map(F.lit, notice_words(text))).alias("words"),
         )
         for number, (name, text) in enumerate(notices)
@@ -133,7 +133,7 @@ def scan_licenses(
         )
         return none.toDF(id, "notice", "license", "containment", "start_word")
     templates = _templates(spark, notices)
-    named = sorted({_length_class(len(notice_words(words))) for _, words in notices})
+    named = sorted({length_class(len(notice_words(words))) for _, words in notices})
     lower = F.lower(F.coalesce(docs[text], F.lit("")))
     has_probe = F.lit(False)
     for word in probes(notices, threshold):

@@ -37,12 +37,14 @@ def duplicate_groups(
     that a group that holds a third of all rows reaches a task as one row per task before. Texts
     that share a SHA-256 but differ make the job fail.
     """
+    # What has two rows is stored, so that each join reads both sides as they are and a hot key's
+    # rows can be split.
     twice = F.count(F.lit(1)) > 1
     alike = keys.groupBy("_length", "_prefix").agg(twice.alias("_twice")).where("_twice")
-    left = keys.join(alike.drop("_twice"), ["_length", "_prefix"], "left_semi")
+    left = keys.join(stored(alike.drop("_twice"), "alike"), ["_length", "_prefix"], "left_semi")
     hashed = ["_length", "_prefix", "_full"]
     same = left.groupBy(*hashed).agg(twice.alias("_twice")).where("_twice").drop("_twice")
-    left = left.join(same, hashed, "left_semi")
+    left = left.join(stored(same, "same-hash"), hashed, "left_semi")
     texts = docs.select(F.col(id).alias("_doc"), normalized(F.col(text)).alias("_body"))
     content = texts.join(
         left.select("_id", *hashed).distinct(),
@@ -61,7 +63,7 @@ def duplicate_groups(
 
 def _decided(docs: DataFrame, id: str, text: str) -> DataFrame:
     keys = stored(text_keys(docs, id, text), "text-keys")
-    groups = duplicate_groups(docs, keys, id, text)
+    groups = stored(duplicate_groups(docs, keys, id, text), "copy-groups")
     return keys.join(groups, ["_length", "_prefix", "_full"], "left").withColumn(
         "_keep", F.when(F.col("_size").isNull(), F.col("_id")).otherwise(F.col("_keep"))
     )
@@ -73,8 +75,8 @@ def exact_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Data
     Of equal texts the row with the smallest id stays. A null text is an empty one. A null id comes
     after all others; rows that repeat both id and text share one decision, as they are one
     document (``kept_documents`` leaves one of them). An empty table gives an empty result. Only
-    the columns ``id`` and ``text`` are read. Building the result runs the first job, which stores
-    the narrow keys of all rows.
+    the columns ``id`` and ``text`` are read. Building the result runs the jobs that
+    store the narrow keys of all rows and the groups of equal texts.
     """
     return _decided(docs, id, text).select(
         F.col("_id").alias(id),

@@ -7,9 +7,11 @@ file or none, on any file system that it can write to, so lost executors leave n
 
 from __future__ import annotations
 
+import hashlib
 import os
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,14 +27,16 @@ from meterlight.session import new_shared_path
 
 END_ID = 0
 TEXT_BYTES = 8 << 20
-CALL_BYTES = 1 << 16
+CALL_BYTES = 1 << 12
 
-_tokenizers: dict[bytes, object] = {}
+MEMO_PIECES = 400_000
+
+_tokenizers: dict[bytes, tuple] = {}
 
 
 def _tokenizer(described: bytes):
-    """The library's tokenizer, made once per process."""
-    key = zlib.crc32(described).to_bytes(4, "little")
+    """The library's tokenizer and a memo for it, made once per process."""
+    key = hashlib.sha256(described).digest()
     if key not in _tokenizers:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -40,31 +44,69 @@ def _tokenizer(described: bytes):
         made = Tokenizer.from_str(described.decode())
         made.no_truncation()
         made.no_padding()
-        _tokenizers[key] = made
+        _tokenizers[key] = made, PieceMemo()
     return _tokenizers[key]
 
 
-def _encode_pieces(tokenizer, data, begins, ends) -> tuple[np.ndarray, np.ndarray]:
+@lru_cache(maxsize=2)
+def _token_bytes(tokenizer) -> np.ndarray:
+    """How many bytes each token stands for: its characters in the byte-level alphabet."""
+    vocab = tokenizer.get_vocab(with_added_tokens=True)
+    out = np.zeros(max(vocab.values()) + 1, np.int64)
+    for token, id in vocab.items():
+        out[id] = len(token)
+    return out
+
+
+class PieceMemo:
+    """What the library gave for pieces of the batches before, in one process; bounded."""
+
+    def __init__(self) -> None:
+        self.clear()
+
+    def clear(self) -> None:
+        self.place: dict[bytes, int] = {}
+        self.starts = self.counts = self.ids = np.zeros(0, np.int64)
+
+    def look_up(self, tokenizer, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Where each piece's ids begin in ``ids``, and how many it has; new ones are encoded."""
+        if len(self.place) > MEMO_PIECES:
+            self.clear()
+        new = [piece for piece in pieces if piece not in self.place]
+        if new:
+            ids, counts = _encode_pieces(tokenizer, [piece.decode() for piece in new])
+            begin, last = len(self.counts), len(self.ids)
+            self.place.update(zip(new, range(begin, begin + len(new)), strict=True))
+            self.starts = np.concatenate([self.starts, last + np.cumsum(counts) - counts])
+            self.counts = np.concatenate([self.counts, counts])
+            self.ids = np.concatenate([self.ids, ids])
+        rows = np.fromiter(map(self.place.__getitem__, pieces), np.int64, len(pieces))
+        return self.starts[rows], self.counts[rows]
+
+
+def _encode_pieces(tokenizer, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The library's ids of each piece, all in a row, and how many each has.
 
     Pieces of a blank and letters are joined into longer calls: the pattern cuts such a text into
-    the same pieces again, and the library says which piece a token came from.
+    the same pieces again, and the tokens' lengths tell where a piece ends.
     """
-    raw = data.tobytes()
-    texts = [raw[b:e].decode() for b, e in zip(begins.tolist(), ends.tolist(), strict=True)]
     word = np.fromiter((t[0] == " " and t[1:].isalpha() and t.isascii() for t in texts), bool, len(texts))
     counts = np.zeros(len(texts), np.int64)
     found = []
     rows = np.flatnonzero(word)
-    length = (ends - begins)[rows]
+    length = np.fromiter(map(len, texts), np.int64, len(texts))[rows]
+    token_bytes = _token_bytes(tokenizer)
     calls = np.split(rows, np.flatnonzero(np.diff(np.cumsum(length) // CALL_BYTES)) + 1)
     calls = [call for call in calls if len(call)]
     joined = ["".join(texts[k] for k in call) for call in calls]
-    for call, got in zip(calls, tokenizer.encode_batch(joined, add_special_tokens=False), strict=True):
-        counts[call] = np.bincount(np.array(got.word_ids, np.int64), minlength=len(call))
-        found.append((call, np.array(got.ids, np.int64)))
+    for call, got in zip(calls, tokenizer.encode_batch_fast(joined, add_special_tokens=False), strict=True):
+        ids = np.array(got.ids, np.int64)
+        piece_ends = np.cumsum([len(texts[k]) for k in call.tolist()])
+        last = np.searchsorted(np.cumsum(token_bytes[ids]), piece_ends, side="right")
+        counts[call] = np.diff(last, prepend=0)
+        found.append((call, ids))
     alone = np.flatnonzero(~word)
-    single = tokenizer.encode_batch([texts[k] for k in alone], add_special_tokens=False)
+    single = tokenizer.encode_batch_fast([texts[k] for k in alone], add_special_tokens=False)
     for row, got in zip(alone.tolist(), single, strict=True):
         counts[row] = len(got.ids)
     first = np.cumsum(counts) - counts
@@ -77,19 +119,20 @@ def _encode_pieces(tokenizer, data, begins, ends) -> tuple[np.ndarray, np.ndarra
     return out, counts
 
 
-def encode_texts(tokenizer, classes: np.ndarray, special: bytes, column: pa.Array):
+def encode_texts(tokenizer, memo: PieceMemo, classes: np.ndarray, special: bytes, column: pa.Array):
     """The library's ids of all texts in a row, each text closed by the end id, and their counts.
 
-    Each distinct piece of the batch goes through the library once.
+    Each distinct piece of the batch that the memo lacks goes through the library once.
     """
     data, offsets = text_bytes(column)
     begins, ends, _ = cut_pieces(data, offsets, classes, special)
     if len(begins):
         codes, places = distinct_pieces(data, begins, ends)
-        piece_ids, counts = _encode_pieces(tokenizer, data, begins[places], ends[places])
-        starts = np.cumsum(counts) - counts
+        raw = data.tobytes()
+        spans = zip(begins[places].tolist(), ends[places].tolist(), strict=True)
+        starts, counts = memo.look_up(tokenizer, [raw[b:e] for b, e in spans])
         per_piece = counts[codes]
-        ids = piece_ids[spread(starts[codes], per_piece)]
+        ids = memo.ids[spread(starts[codes], per_piece)]
         total = np.concatenate([[0], np.cumsum(per_piece)])
         per_text = np.diff(total[np.searchsorted(begins, offsets)])
     else:
@@ -121,12 +164,12 @@ def write_token_files(
     described = spark.sparkContext.broadcast(zlib.compress(described))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _tokenizer(zlib.decompress(described.value))
+        encoder, memo = _tokenizer(zlib.decompress(described.value))
         table = np.frombuffer(zlib.decompress(classes), np.uint8)
         part_id, before = TaskContext.get().partitionId(), 0
         for batch in batches:
             for part in parts(batch, "_text", TEXT_BYTES):
-                ids, counts = encode_texts(encoder, table, special, part.column(1))
+                ids, counts = encode_texts(encoder, memo, table, special, part.column(1))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([part_id], pa.int32()),

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from meterlight.llm.array_file import received_arrays, send_arrays
 from meterlight.llm.arrow_text import list_column, map_batches, parts, spread, text_bytes
 from meterlight.llm.pieces import class_table, cut_pieces, distinct_pieces
+from meterlight.llm.stored import stored
 from meterlight.llm.transducer import build_transducer, walk
 
 LEXICON_PIECES = 150_000
@@ -286,13 +287,23 @@ def build_lexicon(
 ) -> str:
     """Compile the corpus's most frequent pieces and send the file to all executors.
 
-    Counts cover all texts. The driver gets the ``pieces`` most frequent ones of up to 24 bytes, a
-    few megabytes at any size of the corpus. Returns the file's name on the executors.
+    Counts cover all texts. The driver gets the most frequent ones of up to 24 bytes, ``pieces`` of
+    them at most, a few megabytes at any size of the corpus. Returns the file's name on the
+    executors.
     """
     model = tokenizer_arrays(tokenizer)
     classes = zlib.compress(model["classes"].tobytes())
-    counted = piece_counts(docs, text, classes, special_bytes(model))
-    frequent = counted.orderBy(F.desc("n"), "piece").limit(pieces).select("piece").collect()
+    counted = piece_counts(docs, text, classes, special_bytes(model)).where("n > 1")
+    counted = stored(counted.withColumn("size", F.floor(F.log2("n") * 16).cast("int")), "pieces")
+    # A few hundred sizes, each about 4 percent above the one before.
+    sizes = counted.groupBy("size").agg(F.count(F.lit(1)).alias("pieces")).collect()
+    least, held = 0, 0
+    for row in sorted(sizes, key=lambda row: -row["size"]):
+        held += row["pieces"]
+        if held > pieces:
+            least = row["size"] + 1
+            break
+    frequent = counted.where(F.col("size") >= least).select("piece").collect()
     arrays = model | lexicon_arrays(model, [bytes(row["piece"]) for row in frequent])
     return send_arrays(docs.sparkSession, "bpe-lexicon", arrays)
 

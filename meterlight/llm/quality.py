@@ -18,6 +18,8 @@ THRESHOLD = 0.7
 FOLDS = 4
 HELD_OUT_FOLD = 2
 
+_SCALE = 1 << 30
+
 
 def held_out(id: Column) -> Column:
     """Whether a document never trains: by the CRC-32 of its id as text; a null id never does."""
@@ -33,21 +35,21 @@ def fit_quality(
     label: str = "quality",
     most: int = TRAIN_ROWS,
 ) -> AdditiveModel:
-    """Fit on at most ``most`` labelled documents outside the held-out fold.
+    """Fit on about ``most`` labelled documents outside the held-out fold.
 
     Those whose ids hash lowest are taken; the driver gets their features only. A label is 0 or 1,
     other labels and null ids do not train; of several labels of one id the lowest counts, and of
     several rows of one id each counts.
     """
-    chosen = (
+    known = (
         labels.select(F.col(id).alias("_id"), F.col(label).cast("int").alias("_label"))
         .where(F.col("_label").isin(0, 1) & ~held_out(F.col("_id")))
         .groupBy("_id")
         .agg(F.min("_label").alias("_label"))
-        .orderBy(F.xxhash64("_id"), "_id")
-        .limit(most)
     )
-    # At most ``most`` rows of two numbers.
+    mark = F.pmod(F.xxhash64(F.col("_id").cast("string")), F.lit(_SCALE))
+    chosen = known.where(mark * F.lit(known.count()) < F.lit(_SCALE * most))
+    # About ``most`` rows of two numbers.
     rows = docs.select(F.col(id).alias("_id"), F.col(text).alias("_text")).join(
         F.broadcast(chosen), "_id"
     )

@@ -6,9 +6,12 @@ blocks, each with a table of its own: two fingerprints within a Hamming distance
 at least one block, so no such pair is missed. A candidate fixes where the item would begin; there,
 and some words around, windows of the item's own length are compared exactly.
 
-A window is at most a third of its item and a step at most a half of a window. A text window with
-a similarity of 0.8 keeps so long a run of the item's words (half of a short item, 29 words of a
-long one) that one text window lies within it, and so has the fingerprint of an item's window.
+A window is at most a third of its item, but four words (or the whole item, if that has fewer). A
+step is at most a half of a window, and small enough for one text window to lie within a verbatim
+copy of the shortest item wherever that begins: items as long as their window need a step of one
+word. A text window with a similarity of 0.8 keeps so long a run of the item's words (all of an item
+up to twelve words, half of a short item, 29 words of a long one) that one text window lies within
+it, and so has the fingerprint of an item's window.
 """
 
 from __future__ import annotations
@@ -48,6 +51,7 @@ class ItemIndex:
     """Fingerprints of the items' windows of one length, with a table per block."""
 
     window: int
+    shortest: int  # how many words its shortest item has
     prints: np.ndarray
     items: np.ndarray  # of each fingerprint: the item's place
     offsets: np.ndarray  # and where in the item the window begins
@@ -56,7 +60,7 @@ class ItemIndex:
 
     @property
     def step(self) -> int:
-        return max(1, self.window // 2)
+        return max(1, min(self.window // 2, self.shortest - self.window + 1))
 
 
 @dataclass
@@ -114,8 +118,9 @@ def _item_index(window: int, rows: Sequence[tuple[int, np.ndarray]]) -> ItemInde
         value = (all_prints >> np.uint64(block * _BLOCK_BITS)) & _BLOCK_MASK
         order.append(np.argsort(value, kind="stable"))
         starts.append(np.searchsorted(value[order[-1]], np.arange((1 << _BLOCK_BITS) + 1)))
+    shortest = min(len(hashes) for _, hashes in rows)
     return ItemIndex(
-        window, all_prints, np.concatenate(items), np.concatenate(offsets), starts, order
+        window, shortest, all_prints, np.concatenate(items), np.concatenate(offsets), starts, order
     )
 
 

@@ -154,6 +154,24 @@ def test_items_are_found_as_by_trying_every_window():
     assert len(expected) > 200
 
 
+@pytest.mark.parametrize("size", range(1, 16))
+def test_short_items_are_found_at_every_place(size):
+    lexicon = [f"w{k}" for k in range(400)]
+    rng = random.Random(size)
+    items = [" ".join(rng.choices(lexicon, k=size)) for _ in range(4)]
+    texts = [
+        " ".join(rng.choices(lexicon, k=before) + [item] + rng.choices(lexicon, k=after))
+        for item in items
+        for before in range(8)
+        for after in (0, 1, 7)
+    ]
+    index = decontaminate.build_items(list(range(len(items))), items)
+    found = decontaminate.find_items(index, pa.array(texts, pa.string()))
+    expected = items_in(texts, items)
+    assert {(t, i): round(v, 9) for t, i, v, _ in found} == {k: round(v, 9) for k, v in expected.items()}
+    assert len(expected) >= len(texts)
+
+
 def test_fingerprints_within_the_radius_are_always_found():
     rng = np.random.default_rng(4)
     rows = [(0, rng.integers(0, 2**63, 40, dtype=np.uint64))]

@@ -106,6 +106,13 @@ def test_license_scan(docs, none):
     assert scan_licenses(docs, notices=[]).collect() == []
 
 
+def test_short_notices_are_found_whatever_stands_around_them(spark):
+    # 80 bands of one MinHash value do not retrieve the notice from this window.
+    before = " ".join(f"w{k}" for k in range(625282, 625289))
+    frame = spark.createDataFrame([(1, f"{before} Released under the MIT License.")], "doc_id long, text string")
+    assert pairs(scan_licenses(frame), "doc_id", "notice", "containment", "start_word") == [(1, 0, 1.0, 0)]
+
+
 def test_quality(docs, none, labels):
     model = quality.fit_quality(docs, labels)
     scored = quality.score_quality(docs, model)

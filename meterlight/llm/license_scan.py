@@ -25,7 +25,8 @@ from meterlight.llm.license_texts import NOTICES
 THRESHOLD = 0.8
 SHINGLE_WORDS = 5
 BANDS = 80
-# Notices of up to so many words share windows; longer ones get a class of their own length.
+# Notices of up to so many words share windows; longer ones, and those of fewer words than a shingle
+# has, get a class of their own length.
 LENGTHS = (6, 9, 14, 21, 32, 48, 72)
 # Up to this class the shingles are the keys, without MinHash.
 EXACT_LENGTH = 6
@@ -66,9 +67,12 @@ def _words_of(text: Column) -> Column:
     return F.filter(F.split(lower, _BETWEEN), lambda word: word != "")
 
 
-def _shingles_of(words: Column, low: Column, count: Column) -> Column:
-    """Hashes of the shingles of ``count`` words from ``low`` (from 0); fewer words: all in one."""
-    size = F.least(count, F.lit(SHINGLE_WORDS))
+def _shingles_of(words: Column, low: Column, count: Column, length: Column) -> Column:
+    """Hashes of the shingles of ``count`` words from ``low`` (from 0); fewer words: all in one.
+
+    Shingles have five words, in a class of shorter notices as many as these.
+    """
+    size = F.least(count, length, F.lit(SHINGLE_WORDS))
     places = F.sequence(low + 1, low + count - size + 1)
     return F.transform(
         places, lambda at: F.xxhash64(F.concat_ws(" ", F.slice(words, at, size)))
@@ -99,6 +103,8 @@ def _windows_of(words: Column, length: int) -> Column:
 
 
 def length_class(words: int) -> int:
+    if words < SHINGLE_WORDS:
+        return words
     return next((length for length in LENGTHS if words <= length), words)
 
 
@@ -114,7 +120,7 @@ def _templates(spark, notices: Sequence[tuple[str, str]]) -> DataFrame:
         for number, (name, text) in enumerate(notices)
     ]
     listed = spark.range(1).select(F.inline(F.array(*rows)))
-    shingles = F.array_distinct(_shingles_of(F.col("words"), F.lit(0), F.size("words")))
+    shingles = F.array_distinct(_shingles_of(F.col("words"), F.lit(0), F.size("words"), F.col("length")))
     return listed.withColumn("wanted", shingles).withColumn("keys", _keys_of(F.col("wanted"), F.col("length")))
 
 
@@ -157,7 +163,7 @@ def scan_licenses(
         F.col("_window.low").alias("_low"),
         F.slice("_words", F.col("_window.low") + 1, 2 * F.col("_window.length")).alias("_part"),
     )
-    held = held.withColumn("_own", _shingles_of(F.col("_part"), F.lit(0), F.size("_part")))
+    held = held.withColumn("_own", _shingles_of(F.col("_part"), F.lit(0), F.size("_part"), F.col("_length")))
     keyed = held.select(
         "_id", "_length", "_low", "_own", F.explode(_keys_of(F.col("_own"), F.col("_length"))).alias("_key")
     )

@@ -15,7 +15,7 @@ from meterlight.llm.decontaminate import clean_documents, contaminated
 from meterlight.llm.exact_dedup import exact_dedup, kept_documents
 from meterlight.llm.jaccard_join import jaccard_join, one_per_class
 from meterlight.llm.kd_shards import shard_documents
-from meterlight.llm.license_scan import scan_licenses
+from meterlight.llm.license_scan import notice_words, scan_licenses
 from meterlight.llm.pii import find_pii
 from meterlight.llm.queries import PIECES, TOKENIZER
 
@@ -113,6 +113,27 @@ def test_short_notices_are_found_whatever_stands_around_them(spark):
     assert pairs(scan_licenses(frame), "doc_id", "notice", "containment", "start_word") == [(1, 0, 1.0, 0)]
 
 
+def test_notices_of_fewer_words_than_a_shingle_are_found_inside_texts(spark):
+    notices = ["MIT", "MIT License", "CC BY 4", "SPDX-License-Identifier: MIT"]
+    rows = [
+        (number * 100 + before * 10 + after, "x " * before + notice + " y" * after)
+        for number, notice in enumerate(notices)
+        for before in range(10)
+        for after in (0, 1, 9)
+    ]
+    rows += [(1000, "spdx license identifier"), (1001, "spdx license a identifier mit b"), (1002, "x")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = scan_licenses(frame, notices=[("short", notice) for notice in notices])
+    expected = [
+        (id, number, 1.0)
+        for id, text in rows
+        for number, notice in enumerate(notices)
+        if f" {' '.join(notice_words(notice))} " in f" {' '.join(notice_words(text))} "
+    ]
+    assert pairs(found, "doc_id", "notice", "containment") == sorted(expected, key=repr)
+    assert len(expected) > 120
+
+
 def test_quality(docs, none, labels):
     model = quality.fit_quality(docs, labels)
     scored = quality.score_quality(docs, model)

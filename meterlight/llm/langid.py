@@ -26,10 +26,11 @@ TRAIN_DOCS = 1000
 FOLDS = 3
 HELD_OUT_FOLD = 1
 UNKNOWN = "und"
-PIECE_BYTES = 10
+# Longer words are summed by logarithms, some places at a time.
 WORD_BYTES = 32
 ROUNDS = 3
 CHUNK = 16_384
+CELLS = 1 << 21
 FLOOR = 1e-7
 MOST_LANGUAGES = 500
 _SCALE = 1 << 30
@@ -60,21 +61,23 @@ def vocabulary(path: str) -> list[bytes]:
             continue
         piece = model.id_to_piece(id).replace("▁", " ").encode()
         inside = piece.removeprefix(b" ")
-        if len(piece) <= PIECE_BYTES and all(_LETTER[byte] for byte in inside):
+        if all(_LETTER[byte] for byte in inside):
             pieces.add(piece)
     return sorted(pieces)
 
 
-def spelled_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def spelled_words(
+    column: pa.Array, most: int | None = WORD_BYTES - 1
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Bytes with a blank before each word, begin and end of each word, and each text's first word.
 
-    Words longer than 32 bytes are cut every 31 bytes.
+    Longer words are cut every ``most`` bytes; None, as the models have it, leaves all words whole.
     """
     data, offsets = text_bytes(pc.utf8_lower(column))
     begins, ends = runs(_LETTER[data], offsets)
-    long = np.flatnonzero(ends - begins > WORD_BYTES - 1)
+    step = len(data) if most is None else most
+    long = np.flatnonzero(ends - begins > step)
     if len(long):
-        step = WORD_BYTES - 1
         more = [np.arange(begins[k] + step, ends[k], step) for k in long]
         begins = np.sort(np.concatenate([begins, *more]))
         ends = np.minimum(ends[np.searchsorted(ends, begins, side="right")], begins + step)
@@ -98,31 +101,42 @@ class Lattice:
     steps: list[tuple[int, int, np.ndarray, np.ndarray]]  # begin, size, words, pieces
 
 
-def lattice(automaton, data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> Lattice:
-    """Walk the vocabulary's transducer from every place of every word."""
+def pieces_at(
+    automaton, data: np.ndarray, places: np.ndarray, ends: np.ndarray
+) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Size by size, which of the places begin a piece that ends by their word's end, and the piece."""
     keys, targets, outputs = automaton["keys"], automaton["targets"], automaton["outputs"]
     final = automaton["final"]
+    left = np.arange(len(places))
+    state = np.full(len(left), len(final) - 1, np.int64)
+    number = np.zeros(len(left), np.int64)
+    size = 0
+    while True:
+        inside = ends[left] > places[left] + size
+        left, state, number = left[inside], state[inside], number[inside]
+        if not len(left):
+            return
+        key = state * 256 + data[places[left] + size]
+        size += 1
+        edge = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        there = keys[edge] == key
+        left, edge = left[there], edge[there]
+        number = number[there] + outputs[edge]
+        state = targets[edge].astype(np.int64)
+        done = final[state]
+        if done.any():
+            yield size, left[done], number[done]
+
+
+def lattice(automaton, data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> Lattice:
+    """Walk the vocabulary's transducer from every place of every word."""
     length = ends - begins
     width = int(length.max(initial=0))
     steps = []
     for place in range(width):
         left = np.flatnonzero(length > place)
-        state = np.full(len(left), len(final) - 1, np.int64)
-        number = np.zeros(len(left), np.int64)
-        for size in range(1, min(PIECE_BYTES, width - place) + 1):
-            inside = length[left] >= place + size
-            left, state, number = left[inside], state[inside], number[inside]
-            if not len(left):
-                break
-            key = state * 256 + data[begins[left] + place + size - 1]
-            edge = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-            there = keys[edge] == key
-            left, edge = left[there], edge[there]
-            number = number[there] + outputs[edge]
-            state = targets[edge].astype(np.int64)
-            done = final[state]
-            if done.any():
-                steps.append((place, size, left[done], number[done]))
+        for size, rows, pieces in pieces_at(automaton, data, begins[left] + place, ends[left]):
+            steps.append((place, size, left[rows], pieces))
     return Lattice(len(begins), width, length, steps)
 
 
@@ -135,18 +149,116 @@ def forward(net: Lattice, chances: np.ndarray) -> np.ndarray:
     return alpha
 
 
+class Block:
+    """The pieces that begin at the next places of some long words, and the log chances up to there.
+
+    ``carry`` has the log chances that earlier pieces have brought to the first places. ``alpha`` is
+    final for the block's places and the one after them, and goes on as far as its pieces reach.
+    """
+
+    def __init__(self, automaton, logs, data, begins, ends, carry):
+        self.logs, self.left = logs, ends - begins
+        words, langs = len(begins), logs.shape[1]
+        self.places = int(min(self.left.max(), max(1, CELLS // (words * langs))))
+        count = np.minimum(self.left, self.places)
+        word = np.repeat(np.arange(words), count)
+        place = np.arange(len(word)) - np.repeat(np.cumsum(count) - count, count)
+        found = list(pieces_at(automaton, data, begins[word] + place, ends[word]))
+        at = np.concatenate([rows for _, rows, _ in found])
+        order = np.argsort(place[at], kind="stable")
+        at = at[order]
+        self.word, self.place = word[at], place[at]
+        self.size = np.concatenate([np.full(len(rows), size) for size, rows, _ in found])[order]
+        self.piece = np.concatenate([pieces for _, _, pieces in found])[order]
+        self.bounds = np.searchsorted(self.place, np.arange(self.places + 1))
+        rows = max(self.places + int(self.size.max()) + 1, len(carry))
+        self.alpha = np.full((rows, words, langs), -np.inf)
+        self.alpha[: len(carry)] = carry
+        for at in range(self.places):
+            held, word, to = self._from(at)
+            own = self.alpha[at, word] + logs[self.piece[held]]
+            self.alpha[to, word] = np.logaddexp(self.alpha[to, word], own)
+
+    def _from(self, place: int) -> tuple[slice, np.ndarray, np.ndarray]:
+        held = slice(self.bounds[place], self.bounds[place + 1])
+        return held, self.word[held], place + self.size[held]
+
+    @property
+    def done(self) -> np.ndarray:
+        """Which words end in this block."""
+        return self.left <= self.places
+
+    def whole(self) -> np.ndarray:
+        """The log chances of the words that end here."""
+        return self.alpha[self.left[self.done], np.flatnonzero(self.done)]
+
+    def backward(self, after: np.ndarray | None) -> np.ndarray:
+        """From each place the log chances of the rest of the word; ``after`` is the next block's."""
+        beta = np.full(self.alpha.shape, -np.inf)
+        if after is not None:
+            beta[self.places :, ~self.done] = after[: len(beta) - self.places]
+        beta[self.left[self.done], np.flatnonzero(self.done)] = 0
+        for at in reversed(range(self.places)):
+            held, word, to = self._from(at)
+            np.logaddexp.at(beta[at], word, self.logs[self.piece[held]] + beta[to, word])
+        return beta
+
+
+def _blocks(automaton, logs, data, begins, ends) -> Iterator[tuple[np.ndarray, int, np.ndarray, Block]]:
+    """The blocks of some long words: the words in it, its first place, its carry and itself."""
+    words, low = np.arange(len(begins)), 0
+    carry = np.zeros((1, len(words), logs.shape[1]))
+    while len(words):
+        block = Block(automaton, logs, data, begins[words] + low, ends[words], carry)
+        yield words, low, carry, block
+        carry = block.alpha[block.places :, ~block.done]
+        words, low = words[~block.done], low + block.places
+
+
+def _by_length(length: np.ndarray, langs: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Rows of short and of long words, each in groups of about one length."""
+    order = np.argsort(length, kind="stable")
+    short = np.searchsorted(length[order], WORD_BYTES, side="right")
+    few = min(CHUNK, max(1, CELLS // (WORD_BYTES * langs)))
+    return tuple(
+        np.array_split(rows, -(-len(rows) // most)) if len(rows) else []
+        for rows, most in ((order[:short], CHUNK), (order[short:], few))
+    )
+
+
 def word_chances(automaton, chances, data, begins, ends) -> np.ndarray:
     """The log chance of each word in each language."""
     out = np.zeros((len(begins), chances.shape[1]))
-    order = np.argsort(ends - begins, kind="stable")
-    for rows in np.array_split(order, max(1, -(-len(order) // CHUNK))):
-        if len(rows):
-            net = lattice(automaton, data, begins[rows], ends[rows])
-            alpha = forward(net, chances)
-            out[rows] = np.log(alpha[net.length, np.arange(len(rows))])
+    short, long = _by_length(ends - begins, chances.shape[1])
+    for rows in short:
+        net = lattice(automaton, data, begins[rows], ends[rows])
+        alpha = forward(net, chances)
+        out[rows] = np.log(alpha[net.length, np.arange(len(rows))])
+    logs = np.log(chances) if long else None
+    for rows in long:
+        for words, _, _, block in _blocks(automaton, logs, data, begins[rows], ends[rows]):
+            out[rows[words[block.done]]] = block.whole()
     return out
 
 
+def _expect_long(automaton, logs, data, begins, ends, counts, expected) -> None:
+    """Add how often each piece is expected in some long words; blocks are made again backwards."""
+    whole = np.zeros(counts.shape)
+    held = []
+    for words, low, carry, block in _blocks(automaton, logs, data, begins, ends):
+        whole[words[block.done]] = block.whole()
+        held.append((words, low, carry.copy()))
+    beta = None
+    for words, low, carry in reversed(held):
+        block = Block(automaton, logs, data, begins[words] + low, ends[words], carry)
+        beta = block.backward(beta)
+        word, place = block.word, block.place
+        rest = logs[block.piece] + beta[place + block.size, word] - whole[words[word]]
+        gained = np.exp(block.alpha[place, word] + rest) * counts[words[word]]
+        for k in range(gained.shape[1]):
+            expected[:, k] += np.bincount(block.piece, gained[:, k], len(expected))
+
+
 def fit_pieces(
     automaton, pieces: int, words: list[bytes], counts: np.ndarray, rounds: int = ROUNDS
 ) -> np.ndarray:
@@ -160,12 +272,8 @@ def fit_pieces(
     length = np.array([len(word) for word in words], np.int64)
     ends = np.cumsum(length)
     begins = ends - length
-    order = np.argsort(length, kind="stable")
-    nets = [
-        (rows, lattice(automaton, data, begins[rows], ends[rows]))
-        for rows in np.array_split(order, max(1, -(-len(order) // CHUNK)))
-        if len(rows)
-    ]
+    short, long = _by_length(length, max(1, counts.shape[1]))
+    nets = [(rows, lattice(automaton, data, begins[rows], ends[rows])) for rows in short]
     for _ in range(rounds):
         expected = np.full(chances.shape, 0.5)
         for rows, net in nets:
@@ -180,6 +288,9 @@ def fit_pieces(
                 gained = alpha[place, held] * behind * weight[held]
                 for k in range(gained.shape[1]):
                     expected[:, k] += np.bincount(numbers, gained[:, k], pieces)
+        logs = np.log(chances) if long else None
+        for rows in long:
+            _expect_long(automaton, logs, data, begins[rows], ends[rows], counts[rows], expected)
         chances = np.maximum(expected / expected.sum(axis=0), FLOOR)
     return chances
 
@@ -201,7 +312,7 @@ def _word_counts(docs: DataFrame, id: str, text: str, lang: str, most: int) -> D
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in parts(batch, "_text"):
-                data, begins, ends, first = spelled_words(part.column(1))
+                data, begins, ends, first = spelled_words(part.column(1), None)
                 codes, places = distinct_pieces(data, begins, ends)
                 raw = data.tobytes()
                 spelled = [raw[begins[k] : ends[k]] for k in places]
@@ -257,7 +368,7 @@ def fit_languages(
 
 def _scores(model, column: pa.Array) -> tuple[list[str], np.ndarray]:
     langs = model["langs"].tobytes().decode().split("\0")
-    data, begins, ends, first = spelled_words(column)
+    data, begins, ends, first = spelled_words(column, None)
     total = np.zeros((len(column), len(langs)))
     if len(begins) and model["chances"].shape[1]:
         codes, places = distinct_pieces(data, begins, ends)

@@ -287,6 +287,58 @@ def test_fitting_pieces_raises_the_likelihood():
         before = now
 
 
+def test_the_vocabulary_keeps_long_pieces():
+    pieces = langid.vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    assert {b" maintenance", b" officially"} <= set(pieces)
+    assert max(map(len, pieces)) > 20
+
+
+@pytest.mark.parametrize("cells", [1, 60, 1 << 21])
+def test_long_words_are_summed_whole(monkeypatch, cells):
+    monkeypatch.setattr(langid, "CELLS", cells)
+    pieces = sorted({b"a", b"b", b" ", b"ab", b" a", b"abbabaabba", b"ba" * 8})
+    automaton = build_transducer(pieces)
+    rng = np.random.default_rng(9)
+    chances = rng.random((len(pieces), 2)) * 1e-6
+    spelled = [" " + "".join(rng.choice(["a", "b", "ab", "ba" * 8], k)) for k in (3, 9, 30, 31, 300)]
+    texts = pa.array([" ".join(spelled), None, spelled[-1]])
+    expected = []
+    for word in map(str.encode, spelled):
+        logs = [np.zeros(2)]
+        for end in range(1, len(word) + 1):
+            ways = [
+                logs[end - len(piece)] + np.log(chances[number])
+                for number, piece in enumerate(pieces)
+                if word[:end].endswith(piece)
+            ]
+            logs.append(np.logaddexp.reduce(ways))
+        expected.append(logs[-1])
+    model = automaton | {"chances": chances, "langs": np.frombuffer(b"p\0q", np.uint8)}
+    names, share = langid._scores(model, texts)
+    for row, total in ((0, np.sum(expected, axis=0)), (2, expected[-1])):
+        assert names[row] == "pq"[int(total.argmax())]
+        assert np.isclose(share[row], 1 / np.exp(total - total.max()).sum())
+    data = np.frombuffer("".join(spelled).encode(), np.uint8)
+    ends = np.cumsum([len(word) for word in spelled])
+    begins = ends - [len(word) for word in spelled]
+    assert np.allclose(langid.word_chances(automaton, chances, data, begins, ends), expected)
+
+
+@pytest.mark.parametrize("cells", [1, 60, 1 << 21])
+def test_long_words_are_fitted_as_short_ones(monkeypatch, cells):
+    pieces = sorted({b"a", b"b", b" ", b"ab", b" a", b"abba", b"baba"})
+    automaton = build_transducer(pieces)
+    rng = np.random.default_rng(10)
+    spelled = [b" " + bytes(rng.choice([97, 98], size).astype(np.uint8)) for size in range(1, 30)]
+    counts = rng.integers(0, 5, (len(spelled), 2)).astype(float)
+    whole = langid.fit_pieces(automaton, len(pieces), spelled, counts)
+    monkeypatch.setattr(langid, "CELLS", cells)
+    monkeypatch.setattr(langid, "WORD_BYTES", 6)
+    assert np.allclose(langid.fit_pieces(automaton, len(pieces), spelled, counts), whole)
+    longest = [word * 20 for word in spelled[-2:]]
+    assert np.isfinite(langid.fit_pieces(automaton, len(pieces), longest, counts[-2:], 1)).all()
+
+
 def test_words_are_spelled_with_a_blank_and_long_ones_are_cut():
     data, begins, ends, first = langid.spelled_words(pa.array(["Ab, c1", "x" * 70, None, "é"]))
     raw = data.tobytes()

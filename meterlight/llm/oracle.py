@@ -110,8 +110,68 @@ from shares where containment >= 0.8 - 1e-9
 group by doc_id, notice, license
 """
 
+# Plain: every phrase at every place, every cut, and the longer phrase around each pair.
+_COLLOCATIONS = r"""
+with pieces as (
+    select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[.,;:!?\x0A-\x0D]')) as piece
+    from documents
+),
+spoken as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as words from pieces),
+phrases as (
+    select lang, 1 as size, unnest(words) as phrase from spoken
+    union all
+    select lang, 2, unnest(list_transform(range(1, len(words)), lambda k: words[k] || ' ' || words[k + 1]))
+    from spoken where len(words) > 1
+    union all
+    select lang, 3, unnest(list_transform(range(1, len(words) - 1),
+        lambda k: words[k] || ' ' || words[k + 1] || ' ' || words[k + 2]))
+    from spoken where len(words) > 2
+),
+counts as (
+    select lang, size, phrase, count(*) as f, string_split(phrase, ' ') as words
+    from phrases group by lang, size, phrase having count(*) >= 10
+),
+halves as (
+    select lang, phrase, size, f, 1 as k, words[1] as head, array_to_string(words[2:], ' ') as tail
+    from counts where size > 1
+    union all
+    select lang, phrase, size, f, 2, array_to_string(words[1:2], ' '), words[3] from counts where size = 3
+),
+cuts as (
+    select c.lang, c.phrase, c.size, c.f as a, k, l.f as l, r.f as r,
+           1000000::hugeint * c.f * c.f // (l.f::hugeint * r.f) as score
+    from halves c
+    join counts l on l.lang = c.lang and l.phrase = c.head
+    join counts r on r.lang = c.lang and r.phrase = c.tail
+),
+lowest as (
+    select * from cuts
+    qualify row_number() over (partition by lang, phrase order by score, k) = 1
+),
+around as (
+    select lang, phrase, max(f) as f from (
+        select lang, array_to_string(words[1:2], ' ') as phrase, f from counts where size = 3
+        union all
+        select lang, array_to_string(words[2:3], ' '), f from counts where size = 3
+    ) group by lang, phrase
+),
+ranked as (
+    select lowest.lang, lowest.phrase, a, l, r, score,
+           row_number() over (partition by lowest.lang order by score desc, a desc, lowest.phrase) as rank
+    from lowest left join around on lowest.lang = around.lang and lowest.phrase = around.phrase
+    where lowest.size = 3 or around.f is null or 100 * around.f < 50 * a
+),
+totals as (select lang, sum(len(words)) as n from spoken group by lang)
+select lang, rank, phrase, a, l, r, n::bigint as n, score::bigint as score
+from ranked join totals using (lang)
+where rank <= 2000
+"""
+
 ORACLE_SQL = {
     "op2_licenses": _LICENSES,
     "op5_jaccard_join": _JACCARD_JOIN,
     "op7_exact_dedup": _EXACT_DEDUP,
+    "op12_collocations": _COLLOCATIONS,
 }

@@ -164,6 +164,8 @@ _MD_PLAIN = "service_type, usage_date, " + _plain(
 _AI_PLAIN = f"* REPLACE ({_plain('credits_used_cloud_services', 'token_credits')})"
 _CC = "COALESCE(credits_attributed_compute, 0)"
 
+_HISTORY_DAYS = "CAST(hist.start_time AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-10'"
+_FULL_DAYS = "CAST(start_time AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-10'"
 _FIRST_DAYS = "hist.start_time BETWEEN DATE '2024-01-05' AND DATE '2024-01-10'"
 
 
@@ -178,6 +180,16 @@ def _overview(condition: str) -> str:
     )
 
 
+def _shown_overview(condition: str) -> str:
+    return (
+        "SELECT FORMAT('{:,}', total_queries) AS total_queries, "
+        "FORMAT('{:,.3f}', compute_credits) AS compute_credits, "
+        "FORMAT('{:,.3f}', cs_credits) AS cs_credits, "
+        "FORMAT('{:,.2f}', avg_execution_seconds) AS avg_execution_seconds FROM ("
+        f"{_overview(condition)})"
+    )
+
+
 def _kpis(days: str) -> str:
     figures = ", ".join(
         f"CAST(COALESCE(SUM(credits_used) FILTER (service_type = '{service}'), 0) AS DOUBLE)"
@@ -305,23 +317,15 @@ ORACLE_SQL: dict[str, str] = {
         "qh qa",
         _overview(f"{_FIRST_DAYS} AND hist.user_name = 'USER_3' AND part.user_name = 'USER_3'"),
     ),
-    "user_overview_whole_day": _sql(
-        "qh qa",
-        _overview("CAST(hist.start_time AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-10'"),
-    ),
+    "user_overview_whole_day": _sql("qh qa", _overview(_HISTORY_DAYS)),
     "user_overview_empty": _sql(
         "qh qa", _overview("hist.start_time BETWEEN DATE '2030-01-05' AND DATE '2030-01-10'")
     ),
     "user_overview_sql": _sql("qh qa", _overview(_FIRST_DAYS)),
+    "user_overview_sql_whole_day": _sql("qh qa", _overview(_HISTORY_DAYS)),
     "stored_user_overview": _sql("qh qa", _overview(_FIRST_DAYS)),
-    "format_overview": _sql(
-        "qh qa",
-        "SELECT FORMAT('{:,}', total_queries) AS total_queries, "
-        "FORMAT('{:,.3f}', compute_credits) AS compute_credits, "
-        "FORMAT('{:,.3f}', cs_credits) AS cs_credits, "
-        "FORMAT('{:,.2f}', avg_execution_seconds) AS avg_execution_seconds FROM ("
-        f"{_overview(_FIRST_DAYS)})",
-    ),
+    "format_overview": _sql("qh qa", _shown_overview(_FIRST_DAYS)),
+    "format_overview_whole_day": _sql("qh qa", _shown_overview(_HISTORY_DAYS)),
     "warehouse_daily": _sql(
         "qa",
         "SELECT warehouse_name, CAST(start_time AS DATE) AS usage_date, "
@@ -370,6 +374,17 @@ ORACLE_SQL: dict[str, str] = {
         "CAST(SUM(tokens) AS BIGINT) AS tokens, CAST(SUM(token_credits) AS DOUBLE) AS credits "
         "FROM ai GROUP BY 1, 2",
     ),
+    "ai_by_function_range": _sql(
+        "ai",
+        "SELECT function_name, model_name, COUNT(*) AS calls, "
+        "CAST(SUM(tokens) AS BIGINT) AS tokens, CAST(SUM(token_credits) AS DOUBLE) AS credits "
+        f"FROM ai WHERE {_DAYS} GROUP BY 1, 2",
+    ),
+    "ai_daily_range": _sql(
+        "ai",
+        "SELECT CAST(start_time AS DATE) AS usage_date, CAST(SUM(tokens) AS BIGINT) AS tokens, "
+        f"CAST(SUM(token_credits) AS DOUBLE) AS credits FROM ai WHERE {_FULL_DAYS} GROUP BY 1",
+    ),
     "ai_daily": _sql(
         "ai",
         "SELECT CAST(start_time AS DATE) AS usage_date, CAST(SUM(tokens) AS BIGINT) AS tokens, "

@@ -142,7 +142,13 @@ ANALYSES: dict[str, Analysis] = {
     "user_overview_whole_day": Analysis(overview.user_overview, DAYS, {"end_rule": WHOLE_DAY}),
     "user_overview_empty": Analysis(overview.user_overview, NO_DAYS),
     "user_overview_sql": Analysis(overview.user_overview_sql, DAYS),
+    "user_overview_sql_whole_day": Analysis(
+        overview.user_overview_sql, DAYS, {"end_rule": WHOLE_DAY}
+    ),
     "format_overview": Analysis(overview.displayed_overview, DAYS),
+    "format_overview_whole_day": Analysis(
+        overview.displayed_overview, DAYS, {"end_rule": WHOLE_DAY}
+    ),
     # warehouses
     "warehouse_daily": Analysis(warehouse.warehouse_daily, DAYS),
     "warehouse_hourly": Analysis(warehouse.warehouse_hourly),
@@ -154,7 +160,9 @@ ANALYSES: dict[str, Analysis] = {
     "right_sizing": Analysis(warehouse.right_sizing),
     # AI
     "ai_by_function": Analysis(ai.ai_by_function),
+    "ai_by_function_range": Analysis(ai.ai_by_function, DAYS),
     "ai_daily": Analysis(ai.ai_daily),
+    "ai_daily_range": Analysis(ai.ai_daily, DAYS, {"end_rule": WHOLE_DAY}),
     "analyst_daily": Analysis(ai.analyst_daily),
     "ai_model_cost": Analysis(ai.ai_model_cost),
     "ai_query_details": Analysis(ai.ai_query_details),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meterlight.fixed_values import ADMIN_PLACES, SERVICE_KPIS, USER_PLACES
-from meterlight.functions.dates import MIDNIGHT, check_range
+from meterlight.functions.dates import WHOLE_DAY, check_range
 from meterlight.functions.display import format_kpis
 from meterlight.functions.measures import ratio
 from meterlight.operators.governance import Caller
@@ -102,7 +102,7 @@ def displayed_overview(
     end_rule: str | None = None,
 ) -> DataFrame:
     """The personal overview as text."""
-    return format_kpis(user_overview(views, start, end, user), USER_PLACES)
+    return format_kpis(user_overview(views, start, end, user, end_rule), USER_PLACES)
 
 
 _OVERVIEW_SQL = """
@@ -117,7 +117,9 @@ queries AS (
          CAST(SUM(COALESCE(credits_used_cloud_services, 0)) AS DECIMAL(25, 9)) AS cloud,
          CAST(SUM(CAST(total_elapsed_time AS DECIMAL(20, 0))) AS DECIMAL(25, 0)) AS elapsed,
          COUNT(total_elapsed_time) AS timed
-  FROM {queries} WHERE start_time >= :start_date AND start_time <= :end_date
+  FROM {queries}
+  WHERE start_time >= :start_date
+    AND (start_time <= :end_date OR :whole_day AND start_time < DATE_ADD(:end_date, 1))
   GROUP BY query_id
 )
 SELECT COUNT(*) AS total_queries,
@@ -132,17 +134,18 @@ FROM queries q JOIN credits c ON q.query_id = c.query_id
 
 
 def user_overview_sql(
-    views: UsageViews, start: Day, end: Day, user: Caller = None
+    views: UsageViews, start: Day, end: Day, user: Caller = None, end_rule: str | None = None
 ) -> DataFrame:
-    """``user_overview`` as SQL text, with the dates bound as parameters.
+    """``user_overview`` as SQL text, with the dates and the end rule bound as parameters.
 
     The views have the same range, so that logs stored by day are read for their days only.
     """
     first, last = check_range(start, end)
-    scope = views.scoped(first, last, user, MIDNIGHT)
+    scope = views.scoped(first, last, user, end_rule)
+    whole_day = scope.end_rule == WHOLE_DAY
     return scope.queries.sparkSession.sql(
         _OVERVIEW_SQL,
-        args={"start_date": first, "end_date": last},
+        args={"start_date": first, "end_date": last, "whole_day": whole_day},
         queries=scope.queries,
         attribution=scope.attribution_credits,
     )

@@ -87,6 +87,11 @@ class UsageViews:
         """First and last date, or ``None`` for all dates."""
         return self._range
 
+    @property
+    def end_rule(self) -> str:
+        """How the last date of a range ends."""
+        return self._end_rule
+
     def all_dates(self) -> UsageViews:
         """The same views without a range."""
         scope = self._copy(self._user)
@@ -194,9 +199,13 @@ class UsageViews:
         """AI calls, tokens and credits per query and the given columns.
 
         Summed before they meet the query log, so that a query with very many calls joins as a few
-        rows.
+        rows. Where a range or a caller limits the queries, calls of others go before the sum: the
+        filter on the ids can then reach the scan, and only matching rows are shuffled.
         """
-        return self._logs.ai_functions.groupBy("query_id", *by).agg(
+        rows = self._logs.ai_functions
+        if self._range is not None or self._user is not ADMINISTRATOR:
+            rows = rows.join(self.queries.select("query_id"), "query_id", "left_semi")
+        return rows.groupBy("query_id", *by).agg(
             F.count(F.lit(1)).alias("calls"),
             F.sum(F.col("tokens").cast("decimal(20,0)")).cast("decimal(25,0)").alias("tokens"),
             F.sum("token_credits").cast("decimal(25,9)").alias("token_credits"),

@@ -2,12 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from meterlight.fixed_values import LINK_BASE, LINK_END, LINK_MIDDLE
 
 
+# The SQL session variables that links follow where the views are told so.
+ORG_VARIABLE = "usage_organization"
+ACCOUNT_VARIABLE = "usage_account"
+
+
+def session_variable(name: str) -> Column:
+    """A SQL session variable, as it is when a result is built."""
+    return F.expr(f"session.{name}")
+
+
+def declare_account(spark: SparkSession, org: str | None = None, account: str | None = None) -> None:
+    """Declare the session variables, as ``DECLARE VARIABLE`` and ``SET VARIABLE`` in SQL do."""
+    for name, value in ((ORG_VARIABLE, org), (ACCOUNT_VARIABLE, account)):
+        spark.sql(f"DECLARE OR REPLACE VARIABLE {name} STRING DEFAULT NULL")
+        spark.sql(f"SET VARIABLE {name} = :value", args={"value": value})
+
+
 def profile_url(
     query_id: Column | str,
     org: Column | str | None = None,

@@ -166,6 +166,7 @@ _CC = "COALESCE(credits_attributed_compute, 0)"
 
 _HISTORY_DAYS = "CAST(hist.start_time AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-10'"
 _FULL_DAYS = "CAST(start_time AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-10'"
+_TREND_DAYS = "CAST(start_time AS DATE) BETWEEN DATE '2024-01-10' AND DATE '2024-01-20'"
 _FIRST_DAYS = "hist.start_time BETWEEN DATE '2024-01-05' AND DATE '2024-01-10'"
 
 
@@ -227,6 +228,7 @@ _GROWTH = (
 
 ORACLE_SQL: dict[str, str] = {
     "scan_metering": _sql("md", f"SELECT {_MD_PLAIN} FROM md"),
+    "stored_log_merged": _sql("qh", f"SELECT {_QH_PLAIN} FROM qh"),
     "scan_query_history": _sql("qh", f"SELECT {_QH_PLAIN} FROM qh"),
     "scan_attribution": _sql("qa", f"SELECT {_QA_PLAIN} FROM qa"),
     "scan_ai_functions": _sql("al", f"SELECT * REPLACE ({_plain('token_credits')}) FROM al"),
@@ -324,6 +326,10 @@ ORACLE_SQL: dict[str, str] = {
     "user_overview_sql": _sql("qh qa", _overview(_FIRST_DAYS)),
     "user_overview_sql_whole_day": _sql("qh qa", _overview(_HISTORY_DAYS)),
     "stored_user_overview": _sql("qh qa", _overview(_FIRST_DAYS)),
+    "stored_user_overview_by_id": _sql(
+        "qh qa",
+        _overview(f"{_FIRST_DAYS} AND hist.user_name = 'USER_3' AND part.user_name = 'USER_3'"),
+    ),
     "format_overview": _sql("qh qa", _shown_overview(_FIRST_DAYS)),
     "format_overview_whole_day": _sql("qh qa", _shown_overview(_HISTORY_DAYS)),
     "warehouse_daily": _sql(
@@ -331,6 +337,31 @@ ORACLE_SQL: dict[str, str] = {
         "SELECT warehouse_name, CAST(start_time AS DATE) AS usage_date, "
         f"CAST(SUM({_CC}) AS DOUBLE) AS credits FROM qa WHERE {_DAYS} GROUP BY 1, 2",
     ),
+    "warehouse_daily_kept": _sql(
+        "qa",
+        "SELECT warehouse_name, CAST(start_time AS DATE) AS usage_date, "
+        f"CAST(SUM({_CC}) AS DOUBLE) AS credits FROM qa WHERE {_DAYS} GROUP BY 1, 2",
+    ),
+    "distinct_queries_kept": _sql(
+        "qh", f"SELECT COUNT(DISTINCT query_id) AS total_queries FROM qh WHERE {_TREND_DAYS}"
+    ),
+    "failing_users_kept": _sql(
+        "qh",
+        "SELECT error_code, warehouse_name, COUNT(DISTINCT user_name) AS users FROM qh "
+        f"WHERE execution_status <> 'SUCCESS' AND {_TREND_DAYS} GROUP BY 1, 2",
+    ),
+    "spill_daily_kept": _sql(
+        "qh",
+        "SELECT CAST(start_time AS DATE) AS usage_date, COUNT(*) AS spilled_queries, "
+        f"CAST(SUM({_LOCAL}) AS DOUBLE) AS bytes_local, "
+        f"CAST(SUM({_REMOTE}) AS DOUBLE) AS bytes_remote "
+        f"FROM qh WHERE {_SPILLED} AND {_TREND_DAYS} GROUP BY 1",
+    ),
+    "cost_daily_kept": _sql(
+        "md",
+        f"SELECT * FROM ({_COST_DAILY}) "
+        "WHERE usage_date BETWEEN DATE '1998-03-05' AND DATE '1998-03-20'",
+    ),
     "warehouse_hourly": _sql(
         "qa",
         "SELECT warehouse_name, HOUR(start_time) AS hour_of_day, "
@@ -566,3 +597,22 @@ ORACLE_SQL: dict[str, str] = {
         "(VALUES ('parquet'), ('csv')) AS formats(file_format)",
     ),
 }
+
+# The same rows, asked for in another way.
+ORACLE_SQL |= {
+    "sql_user_overview": ORACLE_SQL["user_overview_rls"],
+    "sql_user_overview_whole_day": ORACLE_SQL["user_overview_whole_day"],
+    "sql_admin_overview": ORACLE_SQL["admin_overview"],
+    "sql_warehouse_daily": ORACLE_SQL["warehouse_daily"],
+    "sql_spill_daily": ORACLE_SQL["spill_daily_kept"],
+    "export_verified": _sql(
+        "qa",
+        "SELECT warehouse_name, CAST(start_time AS DATE) AS usage_date, "
+        f"CAST(SUM({_CC}) AS DOUBLE) AS credits FROM qa GROUP BY 1, 2",
+    ),
+    "profile_url_session": _sql(
+        "qh",
+        f"SELECT query_id, '{LINK_BASE}' || 'SESSION_ORG' || '/' || 'SESSION_ACC' "
+        f"|| '{LINK_MIDDLE}' || query_id || '{LINK_END}' AS query_id_url FROM qh",
+    ),
+}

@@ -28,16 +28,24 @@ def cost_daily(views: UsageViews, start: Day = None, end: Day = None) -> DataFra
     scope = views.scoped(start, end)
     days = _daily_cost(scope.metering)
     if scope.range is not None:
-        log, first = scope.all_dates().metering, F.lit(scope.range[0])
-        last = log.where(F.col("usage_date") < first).agg(F.max("usage_date"))
-        days = days.union(_daily_cost(log.where(F.col("usage_date") == last.scalar())))
+        days = days.union(_daily_cost(scope.metering_before(scope.range[0])))
+    changes = cost_changes(days)
+    return changes if scope.range is None else in_date_range(changes, "usage_date", *scope.range)
+
+
+def day_cost(views: UsageViews, start: Day = None, end: Day = None) -> DataFrame:
+    """Exact credits per day, as ``DailyState`` keeps them for ``cost_changes``."""
+    return _daily_cost(views.scoped(start, end).metering)
+
+
+def cost_changes(days: DataFrame) -> DataFrame:
+    """Credits per day and the change against the day before it, from exact credits per day."""
     before = F.lag("credits").over(W.orderBy(F.col("usage_date").asc_nulls_last()))
-    changes = days.select(
+    return days.select(
         "usage_date",
         F.col("credits").cast("double").alias("credits"),
         (F.col("credits") - before).cast("double").alias("delta"),
     )
-    return changes if scope.range is None else in_date_range(changes, "usage_date", *scope.range)
 
 
 def cost_cumulative(views: UsageViews, start: Day = None, end: Day = None) -> DataFrame:

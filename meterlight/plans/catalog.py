@@ -4,19 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
+from datetime import date, timedelta
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterlight.functions.dates import WHOLE_DAY, in_date_range, in_ts_range
-from meterlight.functions.links import profile_url
+from meterlight.functions.links import declare_account, profile_url
 from meterlight.operators.governance import ADMINISTRATOR, row_access
 from meterlight.plans import accounts, ai, overview, pieces, planning, queries, warehouse
+from meterlight.plans.by_day import DailyState, DistinctDays, failing_users, query_ids
 from meterlight.plans.export import FORMATS, export_result, read_export
 from meterlight.plans.pieces import plain_credits
+from meterlight.plans.sql_functions import register_functions
 from meterlight.session import new_shared_path
 from meterlight.sources import sample
+from meterlight.sources.deliveries import merge_log
 from meterlight.sources.logs import StoredLogs, store_log
 from meterlight.views import UsageViews
 
@@ -94,6 +98,81 @@ def _stored_user_overview(spark: SparkSession, folder: str) -> DataFrame:
     return overview.user_overview(stored, *DAYS)
 
 
+def _delivered(spark: SparkSession, folder: str) -> tuple[UsageViews, list, str]:
+    """The query log as merged from deliveries: a draft, late days, a correction, one of them twice.
+
+    Also the days that each delivery touched, and the log's place.
+    """
+    log = sample.SampleLogs(spark, folder).query_history
+    path = new_shared_path(spark, "delivered")
+    even = F.pmod(F.xxhash64("query_id"), F.lit(2)) == 0
+    draft = log.where(even).withColumns(
+        {"total_elapsed_time": F.lit(-1).cast("bigint"), "execution_status": F.lit("RUNNING")}
+    )
+    # A draft says that a query began two days later than it did.
+    draft = draft.withColumn("start_time", F.col("start_time") + F.expr("INTERVAL 2 DAYS"))
+    touched = [merge_log(part, path, ["query_id"]) for part in (draft, log.where(~even), log.where(even))]
+    touched.append(merge_log(log.where(even), path, ["query_id"]))
+    logs = StoredLogs(spark, {"query_history": path}, by_day=True)
+    return UsageViews(logs, user=ADMINISTRATOR), touched, path
+
+
+def _stored_log_merged(spark: SparkSession, folder: str) -> DataFrame:
+    views, _, path = _delivered(spark, folder)
+    return plain_credits(views.queries.drop("query_id_url"))
+
+
+def _stored_by_id(spark: SparkSession, folder: str) -> DataFrame:
+    """One user's overview from stored logs, whose query ids are looked up first."""
+    logs, places = sample.SampleLogs(spark, folder), {}
+    for name in ("query_history", "attribution"):
+        places[name] = new_shared_path(spark, "by-id")
+        store_log(getattr(logs, name), places[name])
+    stored = StoredLogs(spark, places, by_day=True, find_by_id=True)
+    return overview.user_overview(UsageViews(stored, user=ADMINISTRATOR), *DAYS, USER)
+
+
+def _spill_daily_kept(spark: SparkSession, folder: str) -> DataFrame:
+    """Spilling per day from kept days, refreshed after each delivery of the log."""
+    views, touched, _ = _delivered(spark, folder)
+    kept = DailyState(views, new_shared_path(spark, "kept-spill"), queries.spill_daily)
+    kept.refresh(touched[0] + touched[1])
+    kept.refresh(touched[2])
+    return kept.between(*TREND_DAYS, end_rule=WHOLE_DAY)
+
+
+def _warehouse_daily_kept(spark: SparkSession, folder: str) -> DataFrame:
+    """Credits per warehouse and day from kept days; the last day ends at midnight."""
+    views = _views(spark, folder)
+    kept = DailyState(views, new_shared_path(spark, "kept-warehouses"), warehouse.warehouse_daily)
+    first, last = (date.fromisoformat(day) for day in DAYS)
+    days = [first + timedelta(days=k) for k in range((last - first).days + 1)]
+    kept.refresh(days[3:])
+    kept.refresh(days[:4])
+    return kept.between(*DAYS)
+
+
+def _cost_daily_kept(spark: SparkSession, folder: str) -> DataFrame:
+    """Cost per day and its change from kept days; the day before the range is one folder."""
+    kept = DailyState(_views(spark, folder), new_shared_path(spark, "kept-cost"), accounts.day_cost)
+    first = date.fromisoformat(MONTH[0])
+    kept.refresh(first + timedelta(days=k) for k in range(31))
+    days = kept.between(*PART_OF_MONTH).union(kept.last_before(PART_OF_MONTH[0]))
+    return in_date_range(accounts.cost_changes(days), "usage_date", *PART_OF_MONTH)
+
+
+def _distinct_kept(rows: Callable[..., DataFrame], by: tuple[str, ...], name: str) -> Query:
+    def query(spark: SparkSession, folder: str) -> DataFrame:
+        """Distinct values from daily bitmaps, of a log that is delivered in parts and corrected."""
+        views, touched, _ = _delivered(spark, folder)
+        kept = DistinctDays(views, new_shared_path(spark, "kept-distinct"), rows, by)
+        kept.refresh(touched[1])
+        kept.refresh(touched[0] + touched[2])
+        return kept.between(*TREND_DAYS, name=name)
+
+    return query
+
+
 def _month(spark: SparkSession, folder: str) -> DataFrame:
     return plain_credits(in_date_range(sample.load_metering(spark, folder), "usage_date", *MONTH))
 
@@ -122,6 +201,32 @@ def _export_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     return reduce(DataFrame.unionByName, named)
 
 
+def _export_verified(spark: SparkSession, folder: str) -> DataFrame:
+    """Daily warehouse credits, exported with a manifest and held against it when read."""
+    result = warehouse.warehouse_daily(_views(spark, folder))
+    path = new_shared_path(spark, "export-verified")
+    export_result(result, path, "csv", "NULL", manifest=True)
+    return read_export(spark, path, result.schema, "csv", "NULL", verify=True)
+
+
+def _sql_function(text: str, user: str | None = ADMINISTRATOR) -> Query:
+    def query(spark: SparkSession, folder: str) -> DataFrame:
+        """A governed result asked for in SQL, by a table function."""
+        views = UsageViews(sample.SampleLogs(spark, folder), user=user)
+        register_functions(views, "usage_")
+        return spark.sql(text)
+
+    return query
+
+
+def _session_links(spark: SparkSession, folder: str) -> DataFrame:
+    """Links that follow the organisation and account of the SQL session."""
+    declare_account(spark, "SESSION_ORG", "SESSION_ACC")
+    logs = sample.SampleLogs(spark, folder)
+    views = UsageViews(logs, user=ADMINISTRATOR, account_of_session=True)
+    return views.queries.select("query_id", "query_id_url")
+
+
 # Results over governed views: how each is called with the fixed parameters.
 ANALYSES: dict[str, Analysis] = {
     # filters, ranges
@@ -220,6 +325,30 @@ QUERIES: dict[str, Query] = {
     "profile_url": _links,
     "profile_url_prefix": _links_with_prefix,
     "stored_user_overview": _stored_user_overview,
+    "stored_user_overview_by_id": _stored_by_id,
+    "stored_log_merged": _stored_log_merged,
+    "spill_daily_kept": _spill_daily_kept,
+    "warehouse_daily_kept": _warehouse_daily_kept,
+    "cost_daily_kept": _cost_daily_kept,
+    "distinct_queries_kept": _distinct_kept(query_ids, (), "total_queries"),
+    "failing_users_kept": _distinct_kept(failing_users, ("error_code", "warehouse_name"), "users"),
+    "export_verified": _export_verified,
+    "profile_url_session": _session_links,
+    "sql_user_overview": _sql_function(
+        "SELECT * FROM usage_user_overview(DATE'2024-01-05', DATE'2024-01-10')", USER
+    ),
+    "sql_user_overview_whole_day": _sql_function(
+        "SELECT * FROM usage_user_overview(DATE'2024-01-05', DATE'2024-01-10', 'whole_day')"
+    ),
+    "sql_admin_overview": _sql_function(
+        "SELECT * FROM usage_admin_overview(DATE'1998-03-01', DATE'1998-03-31')"
+    ),
+    "sql_warehouse_daily": _sql_function(
+        "SELECT * FROM usage_warehouse_daily(DATE'2024-01-05', DATE'2024-01-10')"
+    ),
+    "sql_spill_daily": _sql_function(
+        "SELECT * FROM usage_spill_daily(DATE'2024-01-10', DATE'2024-01-20', end_rule => 'whole_day')"
+    ),
     "filter_date_range": _month,
     "filter_ts_range": _days,
     "filter_ts_whole_day": _whole_days,

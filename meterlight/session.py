@@ -90,7 +90,12 @@ def remove_copies(spark: SparkSession, purpose: str = "") -> list[str]:
     """
     gone = [path for path in _copies if path.rpartition("/")[2].startswith(purpose)]
     for path in gone:
-        place = spark._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        delete_path(spark, path)
         _copies.remove(path)
     return gone
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a file or a folder wherever Spark can reach it; nothing happens if there is none."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Collection, Mapping
+from datetime import date
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,28 +17,86 @@ DAY_COLUMN = "start_date"
 USER_COLUMNS = ("user_name", "username")
 
 
+# What the files' Bloom filters are kept on, for logs that are looked up by it.
+ID_COLUMN = "query_id"
+# A filter may list so many ids; a longer list would find a match in nearly every file.
+LISTED_IDS = 1000
+_IDS_IN_A_LIST = 10
+
+
+def with_day(df: DataFrame) -> tuple[DataFrame, str | None]:
+    """The log with the day it is stored by, and that column's name; ``None`` if it has no day."""
+    if "start_time" in df.columns:
+        if DAY_COLUMN in df.columns:
+            raise ValueError(f"the log has a column {DAY_COLUMN} of its own")
+        df = df.withColumn("start_time", F.col("start_time").cast("timestamp_ntz"))
+        return df.withColumn(DAY_COLUMN, F.col("start_time").cast("date")), DAY_COLUMN
+    return df, "usage_date" if "usage_date" in df.columns else None
+
+
+def write_days(df: DataFrame, path: str, day: str, mode: str = "error", only_these: bool = False) -> None:
+    """Write rows in folders by ``day``; with ``only_these`` other days' folders stay as they are."""
+    users = [column for column in USER_COLUMNS if column in df.columns]
+    by_day = df.hint("rebalance", day).sortWithinPartitions(day, *users)
+    writer = by_day.write.mode("overwrite" if only_these else mode).partitionBy(day)
+    if only_these:
+        writer = writer.option("partitionOverwriteMode", "dynamic")
+    writer.options(**_bloom_options(df)).parquet(path)
+
+
+def _bloom_options(df: DataFrame) -> dict[str, str]:
+    if ID_COLUMN not in df.columns:
+        return {}
+    return {
+        f"parquet.bloom.filter.enabled#{ID_COLUMN}": "true",
+        "parquet.bloom.filter.adaptive.enabled": "true",
+    }
+
+
 def store_log(df: DataFrame, path: str, mode: str = "error") -> None:
     """Write a log as parquet, one folder per day, so that date ranges read their days only.
 
     ``start_time`` is stored without a zone, as the log's schema declares it, and its day follows
     from that value: a reader in another zone sees the same rows by day and not by day. Rows move to the tasks of their day; AQE splits the days that are too large for one task and
     merges the small ones. Within a file rows are ordered by user, so that the row filter skips row
-    groups. A log without ``start_time`` or ``usage_date`` is written as it is.
+    groups, and Bloom filters on the query id skip those that hold none of the ids asked for. A log
+    without ``start_time`` or ``usage_date`` is written in one folder.
     """
-    if "start_time" in df.columns:
-        day = DAY_COLUMN
-        if day in df.columns:
-            raise ValueError(f"the log has a column {day} of its own")
-        df = df.withColumn("start_time", F.col("start_time").cast("timestamp_ntz"))
-        df = df.withColumn(day, F.col("start_time").cast("date"))
-    elif "usage_date" in df.columns:
-        day = "usage_date"
+    dated, day = with_day(df)
+    if day is None:
+        df.write.mode(mode).options(**_bloom_options(df)).parquet(path)
     else:
-        df.write.mode(mode).parquet(path)
-        return
-    users = [column for column in USER_COLUMNS if column in df.columns]
-    by_day = df.hint("rebalance", day).sortWithinPartitions(day, *users)
-    by_day.write.mode(mode).partitionBy(day).parquet(path)
+        write_days(dated, path, day, mode)
+
+
+def last_day_before(stored: DataFrame, column: str, day: date) -> date | None:
+    """The last day before ``day`` that has a folder, told by the names of the files Spark has listed."""
+    last = None
+    for file in stored.inputFiles():
+        name = file.rpartition(f"/{column}=")[2].partition("/")[0]
+        # NULL has a folder of another form.
+        if name[:4].isdigit():
+            found = date.fromisoformat(name)
+            if found < day and (last is None or found > last):
+                last = found
+    return last
+
+
+def with_ids(df: DataFrame, queries: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose query is among ``queries``, found by the files' Bloom filters.
+
+    Runs a job that brings at most ``LISTED_IDS`` and one ids to the driver. If there are no more,
+    they become literals, in lists short enough to reach the parquet reader. Otherwise a semi-join
+    does the same.
+    """
+    ids = queries.select(ID_COLUMN).where(F.col(ID_COLUMN).isNotNull()).distinct()
+    found = [row[0] for row in ids.limit(LISTED_IDS + 1).collect()]
+    if len(found) > LISTED_IDS:
+        return df.join(queries.select(ID_COLUMN), ID_COLUMN, "left_semi")
+    wanted = F.lit(False)
+    for at in range(0, len(found), _IDS_IN_A_LIST):
+        wanted = wanted | F.col(ID_COLUMN).isin(found[at : at + _IDS_IN_A_LIST])
+    return df.where(wanted)
 
 
 class StoredLogs:
@@ -50,6 +109,9 @@ class StoredLogs:
     A range limits queries by their own start, and attribution is read for all dates to join them.
     Where every attribution row is known to carry its query's ``start_time``, say so with
     ``attribution_starts_with_query``: the range then also limits what is read of the attribution.
+    With ``find_by_id``, a range or a caller with few queries has their ids looked up first, and of
+    the logs that follow a query only row groups that may hold one of them are read. Results are the
+    same; building one then runs the lookup.
     """
 
     def __init__(
@@ -58,6 +120,7 @@ class StoredLogs:
         places: Mapping[str, str],
         attribution_starts_with_query: bool = False,
         by_day: bool | Collection[str] = False,
+        find_by_id: bool = False,
     ):
         self._spark = spark
         self._places = dict(places)
@@ -65,6 +128,11 @@ class StoredLogs:
             by_day = self._places if by_day else ()
         self.by_day = frozenset(by_day)
         self.attribution_starts_with_query = attribution_starts_with_query
+        self.find_by_id = find_by_id
+
+    def has(self, name: str) -> bool:
+        """Whether a place for this log is known."""
+        return name in self._places
 
     def _read(self, name: str, schema: T.StructType) -> DataFrame:
         place = self._places[name]

@@ -154,6 +154,9 @@ class SampleLogs:
     def __init__(self, spark: SparkSession, folder: str):
         self._at = (spark, folder)
 
+    def has(self, name: str) -> bool:
+        return True
+
     @cached_property
     def query_history(self) -> DataFrame:
         return load_query_history(*self._at)

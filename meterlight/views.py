@@ -5,7 +5,7 @@ from __future__ import annotations
 from datetime import date, timedelta
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meterlight.fixed_values import LINK_BASE
@@ -17,10 +17,11 @@ from meterlight.functions.dates import (
     in_date_range,
     in_ts_range,
 )
+from meterlight.functions.links import ACCOUNT_VARIABLE, ORG_VARIABLE, session_variable
 from meterlight.operators import governance
 from meterlight.operators.governance import ADMINISTRATOR, Caller
 from meterlight.operators.per_query import credits_per_query
-from meterlight.sources.logs import DAY_COLUMN, StoredLogs
+from meterlight.sources.logs import DAY_COLUMN, StoredLogs, last_day_before, with_ids
 from meterlight.sources.sample import SampleLogs
 
 Day = date | str | None
@@ -40,19 +41,24 @@ class UsageViews:
     """Frames are built when first asked for; nothing runs until a result is used.
 
     They show the rows of the session's user, ``F.current_user()``, unless another caller is named;
-    ``user=ADMINISTRATOR`` shows all rows. ``prefix`` replaces the account's part of links.
+    ``user=ADMINISTRATOR`` shows all rows. ``prefix`` replaces the account's part of links. With
+    ``account_of_session`` organisation and account of links are those of the SQL session variables
+    ``usage_organization`` and ``usage_account``, which must be declared (``declare_account``).
     """
 
     def __init__(
         self,
         logs: StoredLogs | SampleLogs,
-        org: str = "ORG",
-        account: str = "ACC",
+        org: str | Column = "ORG",
+        account: str | Column = "ACC",
         user: Caller | _SessionUser = SESSION_USER,
         base: str = LINK_BASE,
         prefix: str | None = None,
+        account_of_session: bool = False,
     ):
         self._logs = logs
+        if account_of_session:
+            org, account = session_variable(ORG_VARIABLE), session_variable(ACCOUNT_VARIABLE)
         self._link = (org, account, base, prefix)
         self._user = F.current_user() if user is SESSION_USER else user
         self._range: tuple[date, date] | None = None
@@ -130,6 +136,21 @@ class UsageViews:
             frame.createOrReplaceTempView(prefix + name)
         return [prefix + name for name in frames]
 
+    def frames_by_day(self) -> dict[str, DataFrame]:
+        """The governed frames for a range that comes later; logs stored by day keep the day's column.
+
+        Metering is among them for the administrator, if there is any.
+        """
+        if self._range is not None:
+            raise ValueError("these views have a range already")
+        frames = {
+            "queries": governance.row_access(self._logs.query_history, "user_name", self._user),
+            "attribution": governance.attribution_view(self._logs.attribution, self._user),
+        }
+        if self._user is ADMINISTRATOR and self._logs.has("metering"):
+            frames["metering"] = self.metering
+        return frames
+
     def _between(self, df: DataFrame, column: str, log: str) -> DataFrame:
         by_day = log in getattr(self._logs, "by_day", ())
         if self._range is not None:
@@ -181,9 +202,14 @@ class UsageViews:
         """
         rows = self.attribution_credits
         if queries is not None:
-            rows = rows.join(queries.select("query_id"), "query_id", "left_semi")
+            rows = self._of_queries(rows, queries)
         return credits_per_query(rows)
 
+    def _of_queries(self, rows: DataFrame, queries: DataFrame) -> DataFrame:
+        if getattr(self._logs, "find_by_id", False):
+            return with_ids(rows, queries)
+        return rows.join(queries.select("query_id"), "query_id", "left_semi")
+
     @cached_property
     def attributed_in_range(self) -> DataFrame:
         """Credits per query from the attribution within the range."""
@@ -204,7 +230,7 @@ class UsageViews:
         """
         rows = self._logs.ai_functions
         if self._range is not None or self._user is not ADMINISTRATOR:
-            rows = rows.join(self.queries.select("query_id"), "query_id", "left_semi")
+            rows = self._of_queries(rows, self.queries)
         return rows.groupBy("query_id", *by).agg(
             F.count(F.lit(1)).alias("calls"),
             F.sum(F.col("tokens").cast("decimal(20,0)")).cast("decimal(25,0)").alias("tokens"),
@@ -231,6 +257,20 @@ class UsageViews:
             return self._logs.metering
         return in_date_range(self._logs.metering, "usage_date", *self._range)
 
+    def metering_before(self, day: date) -> DataFrame:
+        """The rows of the last day with metering before ``day``.
+
+        Of a log stored by day the names of its folders tell which day that is, so that only its
+        folder is read; otherwise the dates of all earlier rows are.
+        """
+        self._administrator_only("metering")
+        log = self._logs.metering
+        if "metering" in getattr(self._logs, "by_day", ()):
+            last = last_day_before(log, "usage_date", day)
+            return log.where(F.col("usage_date") == F.lit(last) if last else F.lit(False))
+        earlier = log.where(F.col("usage_date") < F.lit(day)).agg(F.max("usage_date"))
+        return log.where(F.col("usage_date") == earlier.scalar())
+
     @cached_property
     def storage(self) -> DataFrame:
         self._administrator_only("storage")

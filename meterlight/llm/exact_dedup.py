@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meterlight.llm.stored import free_name, stored
+from meterlight.session import broadcast_rows
 
 PREFIX_CHARS = 64
 
@@ -46,8 +47,9 @@ def duplicate_groups(
     same = left.groupBy(*hashed).agg(twice.alias("_twice")).where("_twice").drop("_twice")
     left = left.join(stored(same, "same-hash"), hashed, "left_semi")
     texts = docs.select(F.col(id).alias("_doc"), normalized(F.col(text)).alias("_body"))
+    wanted = stored(left.select("_id", *hashed).distinct(), "same-hash-rows")
     content = texts.join(
-        left.select("_id", *hashed).distinct(),
+        broadcast_rows(wanted, wanted.count()),
         F.col("_doc").eqNullSafe(F.col("_id")) & (F.sha2("_body", 256) == F.col("_full")),
     )
     groups = content.groupBy(*hashed).agg(
@@ -88,11 +90,28 @@ def exact_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Data
 
 
 def kept_documents(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows that stay, with all their columns; one of the rows that repeat both id and text."""
-    gone, gone_full = free_name(docs, "_gone"), free_name(docs, "_gone_full")
-    full = free_name(docs, "_full_text")
-    dropped = _decided(docs, id, text).where(~F.col("_id").eqNullSafe(F.col("_keep")))
-    dropped = dropped.select(F.col("_id").alias(gone), F.col("_full").alias(gone_full))
+    """The rows that stay, with all their columns, as ``exact_dedup`` decides.
+
+    Of rows that repeat both id and text the one whose columns read smallest as JSON stays. Only
+    rows in groups of equal texts are looked up or grouped; texts of others stay where they are as
+    long as those groups' rows are few enough to broadcast their ids and hashes.
+    """
+    names = [free_name(docs, name) for name in ("_gone", "_gone_full", "_full_text", "_times")]
+    gone, gone_full, full, times = names
+    decided = _decided(docs, id, text).where("_size > 1")
+    known = decided.groupBy(F.col("_id").alias(gone), F.col("_full").alias(gone_full)).agg(
+        F.when(F.first("_keep").eqNullSafe(F.first("_id")), F.count(F.lit(1))).otherwise(0).alias(times)
+    )
+    # Rows to drop (0), and those of which one stays.
+    known = stored(known.where(F.col(times) != 1), "copies")
+    repeated = known.where(F.col(times) > 1)
+    size = known.count()
     marked = docs.withColumn(full, F.sha2(normalized(F.col(text)), 256))
     same = F.col(id).eqNullSafe(F.col(gone)) & (F.col(full) == F.col(gone_full))
-    return marked.join(dropped, same, "left_anti").dropDuplicates([id, full]).drop(full)
+    single = marked.join(broadcast_rows(known, size), same, "left_anti").drop(full)
+    if repeated.isEmpty():
+        return single
+    again = marked.join(broadcast_rows(repeated, size), same, "left_semi")
+    row = F.struct(*(F.col("`" + name.replace("`", "``") + "`") for name in docs.columns))
+    chosen = again.groupBy(id, full).agg(F.min_by(row, F.to_json(row)).alias(times))
+    return single.union(chosen.select(f"{times}.*"))

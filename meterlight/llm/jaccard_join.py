@@ -125,9 +125,10 @@ def _candidates(classes: DataFrame) -> DataFrame:
     """``node``, ``rep``, ``grp``, ``band`` and ``n``: the groups in which classes are compared.
 
     Buckets with the same members are one. Classes joined by buckets form a component, and a
-    component of up to ``WHOLE_GROUP`` classes is one group, in which every pair is compared once
-    (band -1). In larger ones, which chance collisions could build at any size, each bucket is a
-    group of its own, and a pair is compared in the first band in which it agrees.
+    component of up to ``WHOLE_GROUP`` classes is dealt out as one group (band -1). In larger ones,
+    which chance collisions could build at any size, each bucket is a group of its own. That is
+    about where pairs meet only: at every size the pairs that agree in a band are compared, each in
+    one place (see ``linked_pairs``).
     """
     # A key holds its band in the lowest bits, so that a row is two longs.
     in_bucket = classes.select("node", F.explode("keys").alias("key"))
@@ -162,10 +163,10 @@ def _candidates(classes: DataFrame) -> DataFrame:
     return whole.union(single)
 
 
-def _agreeing(values: np.ndarray, other: np.ndarray, band: int) -> np.ndarray:
-    """Whether two rows of values agree in one of the bands before ``band``."""
+def _agreeing(values: np.ndarray, other: np.ndarray, first: int, last: int) -> np.ndarray:
+    """Whether two rows of values agree in one of the bands from ``first`` to before ``last``."""
     seen = np.zeros(len(values), bool)
-    for k in range(band):
+    for k in range(first, last):
         cut = slice(k * BAND_VALUES, (k + 1) * BAND_VALUES)
         seen |= (values[:, cut] == other[:, cut]).all(axis=1)
     return seen
@@ -181,7 +182,8 @@ def linked_pairs(
 ) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of sets of ``left`` and ``right`` (both places in ``sets``) at or above the threshold.
 
-    With ``left`` and ``right`` the same, each unordered pair comes once.
+    With ``left`` and ``right`` the same, each unordered pair comes once. Only pairs that agree in a
+    band can be linked: in any band if ``band`` is negative, else in ``band`` and in none before it.
     """
     none = np.zeros(0, np.int64)
     if not len(left) or not len(right):
@@ -203,9 +205,12 @@ def linked_pairs(
             matches[rows] += (values[a[rows], cut] == values[b[rows], cut]).sum(axis=1)
         stay = matches >= needed[at + STEP_VALUES]
         a, b, matches = a[stay], b[stay], matches[stay]
-    if band > 0:
-        first = ~_agreeing(values[a], values[b], band)
-        a, b = a[first], b[first]
+    if band < 0:
+        meets = _agreeing(values[a], values[b], 0, BANDS)
+    else:
+        meets = _agreeing(values[a], values[b], band, band + 1)
+        meets &= ~_agreeing(values[a], values[b], 0, band)
+    a, b = a[meets], b[meets]
     if not len(a):
         return none, none
     _, flat = np.unique(np.concatenate(sets), return_inverse=True)

@@ -48,7 +48,9 @@ def fit_quality(
         .agg(F.min("_label").alias("_label"))
     )
     mark = F.pmod(F.xxhash64(F.col("_id").cast("string")), F.lit(_SCALE))
-    chosen = known.where(mark * F.lit(known.count()) < F.lit(_SCALE * most))
+    # The bound is computed here, where numbers of any size are exact.
+    share = min(_SCALE, -(-_SCALE * most // max(1, known.count())))
+    chosen = known.where(mark < F.lit(share))
     # About ``most`` rows of two numbers.
     rows = docs.select(F.col(id).alias("_id"), F.col(text).alias("_text")).join(
         F.broadcast(chosen), "_id"

@@ -23,13 +23,14 @@ from pyspark.sql import functions as F
 from meterlight.llm.arrow_text import list_column, map_batches, parts, spread, text_bytes
 from meterlight.llm.dac import Dac, pack
 from meterlight.llm.pieces import class_table, cut_pieces, distinct_pieces
-from meterlight.session import new_shared_path
+from meterlight.session import broadcast_rows, new_shared_path
 
 END_ID = 0
 TEXT_BYTES = 8 << 20
 CALL_BYTES = 1 << 12
 
 MEMO_PIECES = 400_000
+MEMO_BYTES = 64 << 20
 
 _tokenizers: dict[bytes, tuple] = {}
 
@@ -66,16 +67,19 @@ class PieceMemo:
 
     def clear(self) -> None:
         self.place: dict[bytes, int] = {}
+        self.bytes = 0
         self.starts = self.counts = self.ids = np.zeros(0, np.int64)
 
     def look_up(self, tokenizer, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Where each piece's ids begin in ``ids``, and how many it has; new ones are encoded."""
-        if len(self.place) > MEMO_PIECES:
+        if len(self.place) > MEMO_PIECES or self.bytes > MEMO_BYTES:
             self.clear()
         new = [piece for piece in pieces if piece not in self.place]
         if new:
             ids, counts = _encode_pieces(tokenizer, [piece.decode() for piece in new])
             begin, last = len(self.counts), len(self.ids)
+            # A piece's own bytes, and eight for each id.
+            self.bytes += sum(map(len, new)) + 8 * len(ids)
             self.place.update(zip(new, range(begin, begin + len(new)), strict=True))
             self.starts = np.concatenate([self.starts, last + np.cumsum(counts) - counts])
             self.counts = np.concatenate([self.counts, counts])
@@ -200,6 +204,8 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     totals = parts_of.groupBy("part").agg(F.max("n").alias("n"))
     earlier = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     starts = totals.select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_before"))
+    # One row per part, of which a file has one: the images stay where they are.
+    starts = broadcast_rows(starts, len(segments.inputFiles()))
     return segments.join(starts, "part").withColumn("start", F.col("_before") + F.col("before"))
 
 

@@ -21,7 +21,9 @@ ROWS = {
     "user_overview_empty": 1,
     "user_overview_whole_day": 1,
     "user_overview_sql": 1,
+    "user_overview_sql_whole_day": 1,
     "format_overview": 1,
+    "format_overview_whole_day": 1,
     "sum_coalesce": 1,
     "avg_elapsed": 1,
     "count_distinct_queries": 1,

@@ -164,7 +164,7 @@ class DistinctDays:
         numbered = number_rows(new, [], [F.col("value")], "place")
         numbered = numbered.select("value", (F.col("place") - 1 + after).alias("number"))
         numbered.write.mode("append").parquet(self._numbers)
-        held = rows.join(self._numbered(), "value")
+        held = rows.join(self._numbered(), "value", "left")
         # Numbers begin at 0; the bitmap functions count from 1.
         at = F.col("number") + 1
         bitmaps = held.groupBy(*self._by, DAY, F.bitmap_bucket_number(at).alias(_BUCKET)).agg(
@@ -173,7 +173,7 @@ class DistinctDays:
         _write_days(bitmaps.select(*self._kept.names), self._days, spans)
 
     def between(self, start: date | str, end: date | str, name: str = "distinct_values") -> DataFrame:
-        """The distinct values per group of ``by`` in a range of whole days; groups without any are absent."""
+        """The distinct values per group of ``by`` in a range of whole days; a group of NULLs has none."""
         stored = in_date_range(_stored_days(self._spark, self._days, self._kept), DAY, start, end)
         joined = stored.groupBy(*self._by, _BUCKET).agg(F.bitmap_or_agg(_BITS).alias(_BITS))
         count = F.coalesce(F.sum(F.bitmap_count(_BITS)), F.lit(0)).cast("bigint")

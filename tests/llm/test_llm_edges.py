@@ -165,7 +165,17 @@ def test_decontamination(docs, none, benchmark):
 
 def test_items_in_blocks_give_the_same(docs, benchmark, monkeypatch):
     monkeypatch.setattr("meterlight.llm.decontaminate.ITEMS_AT_ONCE", 2)
+    found = contaminated(docs, benchmark)
+    assert len(found.collect()) == 2
+    clean = clean_documents(docs, benchmark)
+    for result in (found, clean):
+        # One pass over the texts, whatever the number of blocks.
+        assert result._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert clean.count() == len(ROWS) - 2
+    monkeypatch.setattr("meterlight.llm.decontaminate.ITEM_BYTES", 1)
     assert len(contaminated(docs, benchmark).collect()) == 2
+    by_name = benchmark.selectExpr("cast(item_id as string) item_id", "text")
+    assert {row["item_id"] for row in contaminated(docs, by_name).collect()} == {"1"}
 
 
 def test_jaccard_join(docs, none):

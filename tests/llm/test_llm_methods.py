@@ -191,6 +191,47 @@ def test_items_without_words_and_long_texts_over_many_chunks(monkeypatch):
     assert decontaminate.find_items(items, pa.array([long, "!?", None])) == whole == [(0, 1, 1.0, 2000)]
 
 
+def stem_items(count, rng, lexicon):
+    stem = " ".join(rng.choices(lexicon, k=16))
+    return stem, [f"{stem} " + " ".join(rng.choices(lexicon, k=rng.choice([2, 9, 24, 54]))) for _ in range(count)]
+
+
+def test_items_with_a_shared_stem_are_found_and_few_are_compared(monkeypatch):
+    rng = random.Random(8)
+    lexicon = [f"w{k}" for k in range(3000)]
+    stem, items = stem_items(300, rng, lexicon)
+    texts = [" ".join([*rng.choices(lexicon, k=k), stem, *rng.choices(lexicon, k=40)]) for k in range(9)]
+    texts += [" ".join([*rng.choices(lexicon, k=k), items[k], *rng.choices(lexicon, k=9)]) for k in range(30)]
+    index = decontaminate.build_items(list(range(len(items))), items)
+    compared = []
+    best = decontaminate._best
+    monkeypatch.setattr(decontaminate, "_best", lambda *args: compared.append(args[1]) or best(*args))
+    found = decontaminate.find_items(index, pa.array(texts, pa.string()))
+    expected = items_in(texts, items)
+    assert {(t, i): round(v, 9) for t, i, v, _ in found} == {k: round(v, 9) for k, v in expected.items()}
+    assert len(expected) >= 30
+    # An item of which the stem is 0.8 or nearly so is compared in every text that has the stem.
+    nearly = sum(len(item.split()) <= 18 for item in items)
+    assert len(compared) <= len(texts) * nearly + 60
+
+
+def test_blocks_of_items_share_one_search(monkeypatch):
+    rng = random.Random(9)
+    lexicon = [f"w{k}" for k in range(500)]
+    items = [" ".join(rng.choices(lexicon, k=rng.choice([2, 4, 5, 13, 14, 15, 60]))) for _ in range(40)]
+    texts = [" ".join([*rng.choices(lexicon, k=k % 7), items[k], *rng.choices(lexicon, k=k % 5)]) for k in range(40)]
+    whole = decontaminate.build_items(list(range(40)), items)
+    column = pa.array(texts, pa.string())
+    expected = sorted(decontaminate.find_items(whole, column))
+    cuts = [decontaminate.build_items(list(range(k, k + 8)), items[k : k + 8]) for k in range(0, 40, 8)]
+    cuts = [decontaminate.items_of(block.arrays()) for block in cuts]
+    steps = decontaminate.steps_of([index for block in cuts for index in block.indexes])
+    found = decontaminate.find_in_blocks(cuts, steps, column)
+    assert sorted((t, cuts[n].ids[i].as_py(), v, w) for n, t, i, v, w in found) == expected
+    first = [t for _, t, *_ in decontaminate.find_in_blocks(cuts, steps, column, first_only=True)]
+    assert first == sorted({t for t, *_ in expected})
+
+
 def test_pairs_are_pruned_without_losing_any_and_verified_exactly():
     rng = np.random.default_rng(7)
     base = [rng.integers(0, 2**63, 120, dtype=np.uint64) for _ in range(6)]

@@ -3,26 +3,32 @@
 A word is a run of letters, lower-cased, with a blank before it. Per language every piece of a fixed
 public vocabulary has a probability; the probability of a word is the sum over all ways of cutting
 it into pieces, found by the forward algorithm. Expectation maximisation over the words of a bounded
-sample fits the pieces' probabilities. A text's languages are weighed by the product over its words.
+sample fits the pieces' probabilities; languages do not depend on each other and are fitted some at a
+time. A text's languages are weighed by the product over its words.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterlight.llm.array_file import received_arrays, send_arrays
 from meterlight.llm.arrow_text import map_batches, parts, runs, text_bytes
 from meterlight.llm.pieces import distinct_pieces
+from meterlight.llm.stored import stored
 from meterlight.llm.transducer import build_transducer
 
+# A language learns from about so many texts, the last of which begins within so many bytes.
 TRAIN_DOCS = 1000
+TRAIN_BYTES = 4 << 20
+LANGUAGES_AT_ONCE = 8
 FOLDS = 3
 HELD_OUT_FOLD = 1
 UNKNOWN = "und"
@@ -32,7 +38,8 @@ ROUNDS = 3
 CHUNK = 16_384
 CELLS = 1 << 21
 FLOOR = 1e-7
-MOST_LANGUAGES = 500
+# More languages than this are looked up in a table instead of an expression.
+NAMED_LANGUAGES = 500
 _SCALE = 1 << 30
 
 _LETTER = np.zeros(256, bool)
@@ -219,10 +226,10 @@ def _by_length(length: np.ndarray, langs: int) -> tuple[list[np.ndarray], list[n
     """Rows of short and of long words, each in groups of about one length."""
     order = np.argsort(length, kind="stable")
     short = np.searchsorted(length[order], WORD_BYTES, side="right")
-    few = min(CHUNK, max(1, CELLS // (WORD_BYTES * langs)))
+    most = min(CHUNK, max(1, CELLS // (WORD_BYTES * langs)))
     return tuple(
         np.array_split(rows, -(-len(rows) // most)) if len(rows) else []
-        for rows, most in ((order[:short], CHUNK), (order[short:], few))
+        for rows in (order[:short], order[short:])
     )
 
 
@@ -295,19 +302,39 @@ def fit_pieces(
     return chances
 
 
-def _word_counts(docs: DataFrame, id: str, text: str, lang: str, most: int) -> DataFrame:
-    """How often each word occurs in each language, over about ``most`` training texts of each."""
-    known = docs.where(F.col(lang).isNotNull() & ~held_out(F.col(id)))
-    sizes = known.groupBy(F.col(lang).alias("_lang")).agg(F.count(F.lit(1)).alias("_docs"))
-    sizes = sizes.limit(MOST_LANGUAGES + 1).collect()
-    if len(sizes) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    mark = F.pmod(F.xxhash64(F.col(id).cast("string")), F.lit(_SCALE))
-    chosen = F.lit(False)
-    for row in sizes:
-        share = min(_SCALE, _SCALE * most // row["_docs"])
-        chosen = chosen | ((F.col(lang) == row["_lang"]) & (mark < share))
-    sample = known.where(chosen).select(F.col(lang).alias("_lang"), F.col(text).alias("_text"))
+def _sample(docs: DataFrame, id: str, text: str, lang: str, most: int) -> DataFrame:
+    """``_lang`` and ``_text`` of about ``most`` training texts of each language.
+
+    The texts with the smallest hashes of their ids are taken, until they pass ``TRAIN_BYTES``; a
+    language has one at least. Rows that repeat id, language and text count once.
+    """
+    known = docs.where(F.col(lang).isNotNull() & ~held_out(F.col(id))).select(
+        F.col(lang).alias("_lang"),
+        F.col(text).alias("_text"),
+        F.pmod(F.xxhash64(F.col(id).cast("string")), F.lit(_SCALE)).alias("_mark"),
+    )
+    # Twice the share, and the smallest hash at least, so that no language is missed.
+    share = F.greatest(F.least(F.lit(_SCALE), F.expr(f"{2 * _SCALE * most}L div _docs")), F.col("_least") + 1)
+    sizes = known.groupBy("_lang").agg(F.count(F.lit(1)).alias("_docs"), F.min("_mark").alias("_least"))
+    shares = stored(sizes.select("_lang", share.alias("_share")), "language-shares")
+    named = shares.limit(NAMED_LANGUAGES + 1).collect()
+    if len(named) > NAMED_LANGUAGES:
+        chosen = known.join(shares, "_lang").where(F.col("_mark") < F.col("_share"))
+    else:
+        some = F.lit(False)
+        for row in named:
+            some = some | ((F.col("_lang") == row["_lang"]) & (F.col("_mark") < row["_share"]))
+        chosen = known.where(some)
+    chosen = chosen.select("_lang", "_text", "_mark").distinct()
+    before = Window.partitionBy("_lang").orderBy("_mark", "_text").rowsBetween(Window.unboundedPreceding, -1)
+    held = F.coalesce(F.sum(F.octet_length("_text")).over(before), F.lit(0))
+    taken = F.count(F.lit(1)).over(before)
+    chosen = chosen.withColumns({"_held": held, "_taken": taken})
+    return chosen.where((F.col("_held") < TRAIN_BYTES) & (F.col("_taken") < most)).select("_lang", "_text")
+
+
+def _word_counts(sample: DataFrame) -> DataFrame:
+    """``lang``, ``word`` and ``n``: how often each word occurs in each language of the sample."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -346,36 +373,50 @@ def fit_languages(
 ) -> str:
     """Fit one piece model per language and send them to all executors; returns the file's name.
 
-    Learns from the text of about ``most`` documents per language outside the held-out fold, chosen
-    by a hash of the id; the driver gets the words of these with their counts. More than 500
-    languages are refused.
+    Learns from the text of at most ``most`` documents and about ``TRAIN_BYTES`` per language outside
+    the held-out fold, chosen by a hash of the id. The driver gets the words of eight languages at a
+    time with their counts, and the list of all languages. Rows without a language, and languages
+    without a word, teach nothing; an empty string is a language. An empty table gives a model
+    without languages.
     """
-    rows = _word_counts(docs, id, text, lang, most).orderBy("word", "lang").collect()
-    langs = sorted({row["lang"] for row in rows})
-    words = sorted({bytes(row["word"]) for row in rows})
-    place = {word: k for k, word in enumerate(words)}
-    column = {name: k for k, name in enumerate(langs)}
-    counts = np.zeros((len(words), len(langs)))
-    for row in rows:
-        counts[place[bytes(row["word"])], column[row["lang"]]] = row["n"]
+    counted = _word_counts(_sample(docs, id, text, lang, most))
+    counted = stored(counted, "language-words")
+    langs = sorted(row["lang"] for row in counted.select("lang").distinct().collect())
     pieces = vocabulary(vocabulary_path)
     automaton = build_transducer(pieces)
-    chances = fit_pieces(automaton, len(pieces), words, counts)
-    names = np.frombuffer("\0".join(langs).encode(), np.uint8)
-    arrays = automaton | {"chances": chances, "langs": names}
+    chances = [np.zeros((len(pieces), 0))]
+    for at in range(0, len(langs), LANGUAGES_AT_ONCE):
+        some = langs[at : at + LANGUAGES_AT_ONCE]
+        rows = counted.where(F.col("lang").isin(some)).orderBy("word", "lang").toArrow().combine_chunks()
+        words = rows["word"].cast(pa.large_binary()).dictionary_encode().combine_chunks()
+        column = {name: k for k, name in enumerate(some)}
+        counts = np.zeros((len(words.dictionary), len(some)))
+        place = words.indices.to_numpy(zero_copy_only=False)
+        counts[place, [column[name] for name in rows["lang"].to_pylist()]] = rows["n"].to_numpy()
+        chances.append(fit_pieces(automaton, len(pieces), words.dictionary.to_pylist(), counts))
+    names = np.frombuffer(json.dumps(langs).encode(), np.uint8)
+    arrays = automaton | {"chances": np.hstack(chances), "langs": names}
     return send_arrays(docs.sparkSession, "language-model", arrays)
 
 
 def _scores(model, column: pa.Array) -> tuple[list[str], np.ndarray]:
-    langs = model["langs"].tobytes().decode().split("\0")
+    """The likeliest language of each text, and its share; some distinct words at a time."""
+    langs = json.loads(model["langs"].tobytes())
     data, begins, ends, first = spelled_words(column, None)
     total = np.zeros((len(column), len(langs)))
-    if len(begins) and model["chances"].shape[1]:
+    if not langs:
+        return [UNKNOWN] * len(column), np.zeros(len(column))
+    if len(begins):
         codes, places = distinct_pieces(data, begins, ends)
-        chance = word_chances(model, model["chances"], data, begins[places], ends[places])
-        for k in range(len(langs)):
-            summed = np.concatenate([[0], np.cumsum(chance[codes, k])])
-            total[:, k] = np.diff(summed[first])
+        owner = np.repeat(np.arange(len(column)), np.diff(first))
+        order = np.argsort(codes, kind="stable")
+        step = max(1, 4 * CELLS // len(langs))
+        for low in range(0, len(places), step):
+            some = places[low : low + step]
+            chance = word_chances(model, model["chances"], data, begins[some], ends[some])
+            rows = order[slice(*np.searchsorted(codes[order], [low, low + len(some)]))]
+            for k in range(len(langs)):
+                total[:, k] += np.bincount(owner[rows], chance[codes[rows] - low, k], len(column))
     best = total.argmax(axis=1)
     share = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
     return [langs[k] for k in best], share
@@ -405,7 +446,7 @@ def predict_languages(
         for batch in batches:
             for part in parts(batch, "_text"):
                 langs, share = _scores(arrays, part.column(1))
-                there = _has_letter(part.column(1)) & (len(arrays["langs"]) > 0)
+                there = _has_letter(part.column(1)) & (arrays["chances"].shape[1] > 0)
                 found = [name if ok else UNKNOWN for name, ok in zip(langs, there, strict=True)]
                 columns = [part.column(0), pa.array(found, pa.string())]
                 columns.append(pa.array(np.where(there, share, 0.0)))

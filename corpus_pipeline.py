@@ -1,4 +1,9 @@
-"""A training corpus from raw documents, stage by stage; each stage's rows are stored and read again."""
+"""A training corpus from raw documents, stage by stage; each stage's rows are stored and read again.
+
+All stages but the last return the columns they were given, extra and clashing names included, and
+all give an empty result for an empty table. What each does with nulls, empty texts, ties and
+repeated rows stands with it.
+"""
 
 from __future__ import annotations
 
@@ -14,27 +19,47 @@ from meterlight.llm.stored import stored
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality model rejects go; it learns from the labels of ``sf_dir``."""
+    """Documents that the quality model rejects go; it learns from the labels of ``sf_dir``.
+
+    Null and empty texts are scored like any other; rows that repeat get the same score. Without
+    labels every score is 0.5, below the threshold, and no row stays.
+    """
     return good_documents(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the smallest id stays."""
+    """Of equal texts the document with the smallest id stays.
+
+    A null text is an empty one. Of rows that repeat the id and the text one stays: the one whose
+    other columns read smallest.
+    """
     return kept_documents(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a similarity of 0.8 or more the one with the smallest id stays."""
+    """Of documents linked by a similarity of 0.8 or more the one with the smallest id stays.
+
+    Texts without a word have no shingle and are linked with nothing, rows without an id stay. Rows
+    that share an id stay together if one of their texts is its class's first.
+    """
     return one_per_class(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go.
+
+    Null and empty texts hold none and stay, items without a word are in no text. Rows that repeat
+    are judged each.
+    """
     return clean_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token ids of each document, with digests of them and of the text decoded from them."""
+    """The token ids of each document, with digests of them and of the text decoded from them.
+
+    One row per row of ``docs``, repeated ones too; a null text is empty and has no ids. Only the id
+    and the columns made here are returned, all others are left out.
+    """
     return bpe.round_trip(docs, bpe.build_lexicon(docs, TOKENIZER))
 
 

@@ -108,6 +108,18 @@ def length_class(words: int) -> int:
     return next((length for length in LENGTHS if words <= length), words)
 
 
+def _has_probe(notices: Sequence[tuple[str, str]], threshold: float) -> Column:
+    """Whether a window holds a word that each match with a notice of its length class must have."""
+    classes: dict[int, list[tuple[str, str]]] = {}
+    for name, text in notices:
+        classes.setdefault(length_class(len(notice_words(text))), []).append((name, text))
+    found = F.lit(False)
+    for length, own in sorted(classes.items()):
+        words = F.array(*map(F.lit, probes(own, threshold)))
+        found = F.when(F.col("_length") == length, F.arrays_overlap("_part", words)).otherwise(found)
+    return found
+
+
 def _templates(spark, notices: Sequence[tuple[str, str]]) -> DataFrame:
     """Per notice: its number, licence, length class, shingles and keys."""
     rows = [
@@ -136,8 +148,8 @@ def scan_licenses(
     A notice is found where a window holds at least ``threshold`` of its distinct five-word shingles
     (of fewer words: all of them in a row); the first of the windows that hold the largest share
     gives ``start_word``. Words are runs of ASCII letters, digits and non-ASCII characters of the
-    lower-cased text. Texts without any of the words that every match must have are passed over;
-    this loses nothing. There is no shuffle but for the matches. The notices are a given, bounded
+    lower-cased text. Texts and windows without any of the words that every match must have are
+    passed over; this loses nothing. There is no shuffle but for the matches. The notices are a given, bounded
     list and are broadcast. Null and empty texts match nothing; rows that repeat an id count as one
     document; an empty table gives an empty result.
     """
@@ -163,6 +175,7 @@ def scan_licenses(
         F.col("_window.low").alias("_low"),
         F.slice("_words", F.col("_window.low") + 1, 2 * F.col("_window.length")).alias("_part"),
     )
+    held = held.where(_has_probe(notices, threshold))
     held = held.withColumn("_own", _shingles_of(F.col("_part"), F.lit(0), F.size("_part"), F.col("_length")))
     keyed = held.select(
         "_id", "_length", "_low", "_own", F.explode(_keys_of(F.col("_own"), F.col("_length"))).alias("_key")

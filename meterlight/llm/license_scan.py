@@ -27,7 +27,7 @@ SHINGLE_WORDS = 5
 BANDS = 80
 # Notices of up to so many words share windows; longer ones, and those of fewer words than a shingle
 # has, get a class of their own length.
-LENGTHS = (6, 9, 14, 21, 32, 48, 72)
+LENGTHS = (6, 9, 14, 21, 32, 48, 72, 108, 162, 243)
 # Up to this class the shingles are the keys, without MinHash.
 EXACT_LENGTH = 6
 
@@ -127,7 +127,7 @@ def _templates(spark, notices: Sequence[tuple[str, str]]) -> DataFrame:
             F.lit(number).alias("notice"),
             F.lit(name).alias("license"),
             F.lit(length_class(len(notice_words(text)))).alias("length"),
-            F.array(*map(F.lit, notice_words(text))).alias("words"),
+            F.split(F.lit(" ".join(notice_words(text))), " ").alias("words"),
         )
         for number, (name, text) in enumerate(notices)
     ]

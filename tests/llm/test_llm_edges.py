@@ -15,7 +15,8 @@ from meterlight.llm.decontaminate import clean_documents, contaminated
 from meterlight.llm.exact_dedup import exact_dedup, kept_documents
 from meterlight.llm.jaccard_join import jaccard_join, one_per_class
 from meterlight.llm.kd_shards import shard_documents
-from meterlight.llm.license_scan import notice_words, scan_licenses
+from meterlight.llm.license_scan import length_class, notice_words, scan_licenses
+from meterlight.llm.license_texts import NOTICES
 from meterlight.llm.pii import find_pii
 from meterlight.llm.queries import PIECES, TOKENIZER
 
@@ -113,6 +114,37 @@ def test_short_notices_are_found_whatever_stands_around_them(spark):
     assert pairs(scan_licenses(frame), "doc_id", "notice", "containment", "start_word") == [(1, 0, 1.0, 0)]
 
 
+def test_whole_licences_are_found_as_a_search_at_every_window_finds_them(spark):
+    def shingles(words):
+        return {tuple(words[k : k + 5]) for k in range(len(words) - 4)}
+
+    def best_share(said, notice):
+        own = notice_words(notice)
+        length, wanted = length_class(len(own)), shingles(own)
+        lows = range(0, max(0, len(said) - length - 1) + 1, length)
+        return max(len(wanted & shingles(said[low : low + 2 * length])) / len(wanted) for low in lows)
+
+    rows = []
+    for number, (_, notice) in enumerate(NOTICES):
+        words = notice.split()
+        changed = ["other" if k % 40 == 20 else word for k, word in enumerate(words)]
+        cut = words[: len(words) * 2 // 3]
+        for version, shown in enumerate((words, changed, cut)):
+            before = [f"w{number}{version}{k}" for k in range((0, 13, 330)[version])]
+            rows.append((number * 10 + version, " ".join([*before, *shown, *before])))
+    found = scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {(r["doc_id"], r["notice"]): round(r["containment"], 9) for r in found.collect()}
+    expected = {}
+    for id, text in rows:
+        said = notice_words(text)
+        for number, (_, notice) in enumerate(NOTICES):
+            share = best_share(said, notice)
+            if share >= 0.8 - 1e-9:
+                expected[id, number] = round(share, 9)
+    assert got == expected
+    assert all((number * 10, number) in got for number in range(len(NOTICES)))
+
+
 def test_notices_of_fewer_words_than_a_shingle_are_found_inside_texts(spark):
     notices = ["MIT", "MIT License", "CC BY 4", "SPDX-License-Identifier: MIT"]
     rows = [

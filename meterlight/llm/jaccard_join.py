@@ -163,8 +163,8 @@ def _candidates(classes: DataFrame) -> DataFrame:
     return whole.union(single)
 
 
-def _agreeing(values: np.ndarray, other: np.ndarray, first: int, last: int) -> np.ndarray:
-    """Whether two rows of values agree in one of the bands from ``first`` to before ``last``."""
+def _agreeing(values: np.ndarray, other: np.ndarray, last: int, first: int = 0) -> np.ndarray:
+    """Whether two rows of values agree in one of the bands before ``last``, from ``first`` on."""
     seen = np.zeros(len(values), bool)
     for k in range(first, last):
         cut = slice(k * BAND_VALUES, (k + 1) * BAND_VALUES)
@@ -206,10 +206,10 @@ def linked_pairs(
         stay = matches >= needed[at + STEP_VALUES]
         a, b, matches = a[stay], b[stay], matches[stay]
     if band < 0:
-        meets = _agreeing(values[a], values[b], 0, BANDS)
+        meets = _agreeing(values[a], values[b], BANDS)
     else:
-        meets = _agreeing(values[a], values[b], band, band + 1)
-        meets &= ~_agreeing(values[a], values[b], 0, band)
+        meets = _agreeing(values[a], values[b], band + 1, band)
+        meets &= ~_agreeing(values[a], values[b], band)
     a, b = a[meets], b[meets]
     if not len(a):
         return none, none
